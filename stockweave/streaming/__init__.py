@@ -1,0 +1,2 @@
+"""No streaming operators: a late delivery is a new batch of the same month,
+handled by ``stockweave.operators.publishing``."""
