@@ -24,19 +24,15 @@ ID_PREFIX = {
 def stable_id(entity_type: str, identity_key: Column | str) -> Column:
     """Prefix + base-32 text of the first 80 bits of a SHA-256 digest.
 
-    The 80 bits are read as four numbers of 20 bits, each giving four symbols.
     NULL when the key is blank.
     """
     kind = entity_type.strip().upper()
     key = strip(identity_key)
     digest = F.sha2(F.concat(F.lit(f"{ID_SCHEME}|{kind}|"), key), 256)
-    symbols = []
-    for part in range(4):
-        bits = F.conv(F.substring(digest, part * 5 + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            place = F.shiftright(bits, shift).bitwiseAND(31) + 1
-            symbols.append(F.substr(F.lit(ID_ALPHABET), place, F.lit(1)))
-    return F.when(key != "", F.concat(F.lit(ID_PREFIX[kind]), *symbols))
+    # Two halves of 40 bits; conv() writes base 32 with the digits 0-9 and A-V.
+    halves = [F.lpad(F.conv(F.substring(digest, start, 10), 16, 32), 8, "0") for start in (1, 11)]
+    symbols = F.translate(F.concat(*halves), "0123456789ABCDEFGHIJKLMNOPQRSTUV", ID_ALPHABET)
+    return F.when(key != "", F.concat(F.lit(ID_PREFIX[kind]), symbols))
 
 
 def identity_key(kind: str, *parts: Column | str) -> Column:

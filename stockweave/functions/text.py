@@ -8,8 +8,10 @@ Every matching rule has its own named key; they differ on purpose:
 ``collated``         case- and accent-insensitive collation of the raw value
 
 NFKC and full case folding have no Spark built-in. Only values holding a
-non-ASCII character are sent to Python (Arrow batches); all others stay in
-generated code.
+character that either could change are sent to Python (Arrow batches); all
+others stay in generated code. Compute such a key on distinct values and join
+it back with a left join: an inner join lets the optimizer push "key is not
+null", and with it the normaliser, down onto every raw row.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql.types import StringType
 
 # Whitespace as Unicode defines it, plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
-_NON_ASCII = r"[^\x00-\x7F]"
+# ASCII and the common CJK ideographs are their own NFKC form.
+UNSTABLE = r"[^\x00-\x7F\u4e00-\u9fff]"
 
 # Words accepted as booleans.
 TRUE_WORDS = ("是", "yes", "y", "1", "true", "☑")
@@ -49,13 +52,13 @@ def col(value: Column | str) -> Column:
 
 def nfkc(value: Column | str) -> Column:
     value = col(value).cast("string")
-    wide = value.rlike(_NON_ASCII)
+    wide = value.rlike(UNSTABLE)
     return F.when(wide, _nfkc_values(F.when(wide, value))).otherwise(value)
 
 
 def casefold(value: Column | str) -> Column:
     value = col(value)
-    wide = value.rlike(_NON_ASCII)
+    wide = value.rlike(UNSTABLE)
     return F.when(wide, _casefold_values(F.when(wide, value))).otherwise(F.lower(value))
 
 

@@ -70,23 +70,24 @@ def resolve_sku_codes(codes: DataFrame, sku: DataFrame) -> DataFrame:
 
 
 def resolve_customer_names(names: DataFrame, customer: DataFrame, channel: DataFrame) -> DataFrame:
-    """Distinct ``source_customer_name`` -> customer, when exactly one matches.
+    """Distinct ``source_customer_name`` -> customer, NULL unless exactly one matches.
 
     A master counts when its name equals some source name under the collation
     and its normalised name equals this one's, and when it has a channel.
     """
     with_channel = customer.join(channel.select("channel_id"), "channel_id", "left_semi")
-    seen = names.select(collated("source_customer_name").alias("_name")).distinct()
-    listed = with_channel.join(seen, collated(with_channel["customer_name"]) == seen["_name"], "left_semi")
+    seen = names.select(collated("source_customer_name").alias("_name"))
+    listed = with_channel.join(seen, collated("customer_name") == F.col("_name"), "left_semi")
     unique = (
         listed.withColumn("_key", normalize_text("customer_name"))
-        .filter(F.col("_key").isNotNull())
         .groupBy("_key")
         .agg(F.count(F.lit(1)).alias("_matches"), F.min_by(F.struct(*customer.columns), "customer_id").alias("_customer"))
         .filter(F.col("_matches") == 1)
     )
     keyed = names.withColumn("_key", normalize_text("source_customer_name"))
-    return keyed.join(unique, "_key").select("source_customer_name", *[F.col("_customer")[c].alias(c) for c in customer.columns])
+    # A left join: an inner one would let the optimizer push "key is not null",
+    # and with it the normaliser, below the distinct and onto every raw row.
+    return keyed.join(unique, "_key", "left").select("source_customer_name", *[F.col("_customer")[c].alias(c) for c in customer.columns])
 
 
 def map_sales_rows(
@@ -106,7 +107,8 @@ def map_sales_rows(
         "left",
     )
     names = eligible.select("source_customer_name").filter(F.col("source_customer_name").isNotNull()).distinct()
-    customer_of = resolve_customer_names(names, customer, channel)
+    known = customer.select("customer_id", "customer_code", "customer_name", "channel_id", "salesrep_id")
+    customer_of = resolve_customer_names(names, known, channel)
     customer_of = customer_of.join(channel.select("channel_id", "channel_code", "channel_name"), "channel_id", "left").join(
         salesrep.select("salesrep_id", "salesrep_code", "salesrep_name"), "salesrep_id", "left"
     )
@@ -134,7 +136,8 @@ def map_sales_rows(
 def sku_products(codes: DataFrame, sku: DataFrame, product: DataFrame, key: str = "raw") -> DataFrame:
     """Planning lookup: distinct ``sku_code`` -> SKU, product and both statuses.
 
-    ``key='text'`` also accepts a master code equal after normalisation.
+    ``key='raw'`` compares codes as they are; ``key='text'`` takes masters whose
+    code equals a wanted one under the collation and compares normalised codes.
     """
     masters = sku.select("sku_id", "sku_stable_id", F.col("sku_code").alias("_master_code"), "sku_status", "product_id").join(
         product.select("product_id", "product_stable_id", "product_name", "product_status"), "product_id", "left"
@@ -144,8 +147,10 @@ def sku_products(codes: DataFrame, sku: DataFrame, product: DataFrame, key: str
         masters = masters.withColumnRenamed("_master_code", "sku_code")
     else:
         columns = [c for c in masters.columns if c != "_master_code"]
+        wanted = distinct.select(collated("sku_code").alias("_wanted"))
         masters = (
-            masters.withColumn("sku_code", normalize_text("_master_code"))
+            masters.join(wanted, collated("_master_code") == F.col("_wanted"), "left_semi")
+            .withColumn("sku_code", normalize_text("_master_code"))
             .groupBy("sku_code")
             .agg(F.max_by(F.struct(*columns), "sku_id").alias("_m"))
             .select("sku_code", "_m.*")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sales_queries",)
+MODULES = ("sales_queries", "planning_queries")
 
 
 def load():

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stockweave.functions.keys import identity_key, stable_id
 
@@ -20,8 +21,15 @@ POLICY_VERSION = "policy-1"
 CYCLE_MONTH = "2000-06-01"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is read from the file once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def digest_id(*parts: Column, digits: int = 12) -> Column:
@@ -155,7 +163,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderdate").cast("date").alias("order_date")
     )
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return lines(spark, sf_dir).join(orders, "l_orderkey").join(names, "o_custkey")
+    # Every line has its order and every order its customer; as outer joins the
+    # optimizer may drop them where none of their columns is read.
+    return lines(spark, sf_dir).join(orders, "l_orderkey", "left").join(names, "o_custkey", "left")
 
 
 def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +302,7 @@ order_line AS (
   SELECT n.*, o_custkey, CAST(o_orderdate AS DATE) AS order_date, c_name,
     CAST(date_trunc('quarter', o_orderdate) AS DATE) AS order_quarter,
     CAST(date_trunc('month', ship_date) AS DATE) AS ship_month
-  FROM numbered n JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+  FROM numbered n LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey),
 m_channel AS (
   SELECT CAST('0x' || substr(md5(c_mktsegment), 1, 12) AS BIGINT) AS channel_id, substr(c_mktsegment, 1, 4) AS channel_code,
     c_mktsegment AS channel_name, 'ACTIVE' AS channel_status FROM (SELECT DISTINCT c_mktsegment FROM customer)),

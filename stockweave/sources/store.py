@@ -1,0 +1,99 @@
+"""Versioned Parquet tables behind a manifest.
+
+Data files of a commit are written first, under directories of their own. The
+commit becomes visible with one small manifest write naming every table part;
+a failed job leaves unused files but never a half-visible state. Nothing is
+kept outside the store's folder, so an executor or driver may be lost at any
+time. One writer commits at a time: a second one that read the same manifest
+finds its sequence number taken and fails.
+"""
+
+from __future__ import annotations
+
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_MANIFEST = "seq bigint, table_name string, partition_key string, path string, row_count bigint"
+
+
+class CommitRejected(RuntimeError):
+    """The commit was refused; the visible state is unchanged."""
+
+
+@dataclass(frozen=True)
+class Part:
+    table: str
+    key: str
+    path: str
+    rows: int
+
+
+class VersionedStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def _exists(self, path: str) -> bool:
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+    def _manifests(self) -> DataFrame:
+        path = f"{self.root}/manifest"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], _MANIFEST)
+        # Committed manifests only: files under _temporary are not listed.
+        return self.spark.read.schema(_MANIFEST).json(f"{path}/seq=*", recursiveFileLookup=True)
+
+    def parts(self) -> tuple[int, list[Part]]:
+        """Current sequence number and table parts (one per table and key)."""
+        manifests = self._manifests()
+        latest = manifests.join(manifests.agg(F.max("seq").alias("seq")), "seq", "left_semi").collect()
+        if not latest:
+            return 0, []
+        return latest[0].seq, [Part(r.table_name, r.partition_key, r.path, r.row_count) for r in latest if r.table_name]
+
+    def read(self, table: str, keys: list[str] | None = None) -> DataFrame | None:
+        """Visible rows of a table, or of some of its keys; None when there are none."""
+        paths = [p.path for p in self.parts()[1] if p.table == table and p.rows and (keys is None or p.key in keys)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def has(self, table: str, key: str) -> bool:
+        return any(p.table == table and p.key == key for p in self.parts()[1])
+
+    def write_part(self, table: str, key: str, rows: DataFrame) -> Part:
+        """Writes data files of a coming commit and counts what was written."""
+        path = f"{self.root}/{table}/commit={uuid.uuid4().hex}"
+        rows.write.mode("errorifexists").parquet(path)
+        written = self.spark.read.schema(rows.schema).parquet(path).count()
+        return Part(table, key, path, written)
+
+    def commit(self, fresh: list[Part], base_seq: int | None = None, expected: dict[tuple[str, str], int] | None = None) -> int:
+        """Makes the parts visible, each replacing the same table and key.
+
+        ``expected`` maps (table, key) to a required row count.
+        """
+        for part in fresh:
+            wanted = (expected or {}).get((part.table, part.key))
+            if wanted is not None and wanted != part.rows:
+                raise CommitRejected(f"{part.table} {part.key}: {part.rows} rows written, {wanted} expected")
+        seq, current = self.parts()
+        if base_seq is not None and base_seq != seq:
+            raise CommitRejected(f"another commit came first (now {seq}, read {base_seq})")
+        replaced = {(p.table, p.key) for p in fresh}
+        visible = [p for p in current if (p.table, p.key) not in replaced] + fresh
+        rows = [(seq + 1, p.table, p.key, p.path, p.rows) for p in visible]
+        manifest = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
+        manifest.write.mode("errorifexists").json(f"{self.root}/manifest/seq={seq + 1:012d}")
+        return seq + 1
+
+    def commit_tables(self, tables: dict[str, DataFrame], key: str, expected: dict[str, int] | None = None) -> int:
+        """All tables of one version or batch, all visible or none."""
+        seq, current = self.parts()
+        if any(p.key == key and p.table in tables for p in current):
+            raise CommitRejected(f"{key} is already stored")
+        fresh = [self.write_part(table, key, rows) for table, rows in tables.items()]
+        counts = {(table, key): rows for table, rows in (expected or {}).items()}
+        return self.commit(fresh, seq, counts)
