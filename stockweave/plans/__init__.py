@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sales_queries", "planning_queries")
+MODULES = ("scalar_queries", "sales_queries", "publishing_queries", "planning_queries")
 
 
 def load():
