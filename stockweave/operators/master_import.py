@@ -11,9 +11,7 @@ aggregate, and a finding names the group by key (see ``findings``).
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.functions.text import blank_to_null, casefold, collated, fold_key, normalize_text
@@ -21,6 +19,7 @@ from stockweave.operators.findings import finding, no_findings, raise_severity,
 from stockweave.operators.groups import attach_group
 from stockweave.operators.resolution import identity, master_reference, proposed_action, reference
 from stockweave.sources.contracts import Contract
+from stockweave.sources.staging import stage
 
 BATCH = "batch_id"
 ROW = ["batch_id", "row_number"]
@@ -241,31 +240,16 @@ def customer_parents(rows: DataFrame, catalogue: DataFrame, bootstrap: bool = Fa
     return _drop_helpers(with_findings(linked, rules))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names; a local session without one gets a
-    temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(named)
-
-
 def cycle_rows(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Children that lie on a cycle, not those merely leading to one.
 
     Every child has at most one parent. After 2^k steps along the edges only
     cycle members are still hit once all tails are shorter than 2^k, so the
     edges are doubled (a self-join per round) until the set of nodes reached
-    stops shrinking. Each round is checkpointed; there are about log2(longest
-    tail) rounds.
+    stops shrinking. Each round is written to the shared folder, which cuts the
+    lineage; there are about log2(longest tail) rounds.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    jumps = edges.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("a is not null and b is not null").checkpoint()
+    jumps = stage(edges.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("a is not null and b is not null"))
     reached = None
     while True:
         count = jumps.agg(F.count_distinct("b")).first()[0]
@@ -273,7 +257,7 @@ def cycle_rows(edges: DataFrame, child: str = "child", parent: str = "parent") -
             return jumps.select(F.col("b").alias(child)).distinct()
         reached = count
         onward = jumps.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jumps = jumps.join(onward, "b").select("a", F.col("c").alias("b")).checkpoint()
+        jumps = stage(jumps.join(onward, "b").select("a", F.col("c").alias("b")))
 
 
 def parent_cycles(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ QTY = "DECIMAL(28,4)"
 
 
 def batch_rows(spark, sf_dir):
+    """Rows of all three batches, as the preview step would have stored them."""
     day, month = F.dayofmonth("sales_date"), F.month("sales_date")
     new = F.when(month % 4 == 1, day <= 15).when(month % 4 == 2, day >= 28).otherwise(F.lit(True))
     kinds = F.array(

@@ -404,5 +404,8 @@ incoming_valid AS (
 
 
 def oracle(body: str, *more: str) -> str:
-    """Comparison SQL: the stand-in views, further views, then ``body``."""
+    """Comparison SQL: the stand-in views, further views, then ``body``.
+
+    A body starting with a comma goes on with views of its own.
+    """
     return "WITH " + ",\n".join([SQL.strip(), *more]) + "\n" + body
