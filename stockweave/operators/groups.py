@@ -34,6 +34,7 @@ def attach_group(
     row_id: Sequence[str],
     having: Column | None = None,
     salts: int = SALTS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with the aggregates of their group attached.
 
@@ -41,8 +42,9 @@ def attach_group(
     attaching (their rows get NULL). Rows of one key are spread over ``salts``
     join partitions; rows with a NULL key match no group and are spread freely.
     A small group table is broadcast by the optimizer, then no row moves.
+    ``source`` gives the aggregates when ``rows`` is a longer plan over it.
     """
-    stats = rows.groupBy(*keys).agg(*[measure.alias(name) for name, measure in measures.items()])
+    stats = (rows if source is None else source).groupBy(*keys).agg(*[measure.alias(name) for name, measure in measures.items()])
     for key in keys:
         stats = stats.filter(F.col(key).isNotNull())
     if having is not None:

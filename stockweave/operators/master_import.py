@@ -18,7 +18,7 @@ from stockweave.functions.text import blank_to_null, casefold, collated, fold_ke
 from stockweave.operators.findings import finding, no_findings, raise_severity, with_findings
 from stockweave.operators.groups import attach_group
 from stockweave.operators.resolution import identity, master_reference, proposed_action, reference
-from stockweave.sources.contracts import Contract
+from stockweave.sources.contracts import Contract, normalize_rows
 from stockweave.sources.staging import stage
 
 BATCH = "batch_id"
@@ -52,7 +52,7 @@ def _set_action(rows: DataFrame, when: Column, action: str) -> DataFrame:
     return rows.withColumn("action", F.when(F.coalesce(when, F.lit(False)), action).otherwise(F.col("action")))
 
 
-def with_group_size(rows: DataFrame, key: Column, name: str, distinct: Column | None = None) -> DataFrame:
+def with_group_size(rows: DataFrame, key: Column, name: str, distinct: Column | None = None, source: DataFrame | None = None) -> DataFrame:
     """Adds ``_{name}_key`` and ``_{name}_rows``: size of the row's group in its batch.
 
     ``distinct`` also adds ``_{name}_values``, the number of different values.
@@ -62,7 +62,8 @@ def with_group_size(rows: DataFrame, key: Column, name: str, distinct: Column |
     if distinct is not None:
         # NULL counts as a value of its own.
         measures[f"_{name}_values"] = F.count_distinct(F.coalesce(distinct, F.lit("\u0000")))
-    return attach_group(keyed, [BATCH, f"_{name}_key"], measures, ROW, having=F.col(f"_{name}_rows") > 1)
+    base = None if source is None else source.withColumn(f"_{name}_key", key)
+    return attach_group(keyed, [BATCH, f"_{name}_key"], measures, ROW, having=F.col(f"_{name}_rows") > 1, source=base)
 
 
 def _drop_helpers(rows: DataFrame) -> DataFrame:
@@ -140,12 +141,12 @@ def customer_identity(rows: DataFrame, customer: DataFrame) -> DataFrame:
         "matched_stable_id", F.when(existing, F.col("_m.customer_stable_id"))
     )
     found = _drop_helpers(_set_action(_set_action(found, code_taken, "CONFLICT"), existing, "EXISTING"))
-    return customer_file_duplicates(found)
+    return customer_file_duplicates(stage(found))
 
 
 def customer_file_duplicates(rows: DataFrame) -> DataFrame:
     """Within the file: a repeated code blocks every occurrence; one name with
-    several codes is a warning."""
+    several codes is a warning. Reads ``rows`` several times: pass a stored table."""
     # Codes equal under the collation share the smallest spelling as group key.
     spelling = (
         rows.select(BATCH, "customer_code")
@@ -161,7 +162,7 @@ def customer_file_duplicates(rows: DataFrame) -> DataFrame:
     code = F.when(F.col("_code_values") == 1, "MDM_IMPORT_DUPLICATE_EXACT").otherwise("MDM_IMPORT_CUSTOMER_CODE_CONFLICT")
     sized = with_findings(sized, [finding(repeated, code, candidate_key=F.col("_code_key"), candidate_count=F.col("_code_rows"))])
     sized = _drop_helpers(_set_action(sized, repeated, "CONFLICT"))
-    sized = with_group_size(sized, F.col("customer_name"), "name", distinct=F.col("customer_code"))
+    sized = with_group_size(sized, F.col("customer_name"), "name", distinct=F.col("customer_code"), source=rows)
     several = (F.col("_name_values") > 1) & (F.col("action") != "EXISTING")
     return _drop_helpers(
         with_findings(
@@ -180,10 +181,11 @@ def operational_references(rows: DataFrame, catalogue: DataFrame, references: di
 
     ``references``: reference -> (column, entity type). Adds
     ``{reference}_stable_id``; inactive or unresolved names are errors unless
-    the row already exists.
+    the row already exists. Reads ``rows`` once per reference: pass a stored table.
     """
+    base = rows
     for name, (column, entity_type) in references.items():
-        resolved = master_reference(rows, column, catalogue, entity_type).select(
+        resolved = master_reference(base, column, catalogue, entity_type).select(
             column, F.col("match.entity_stable_id").alias(f"{name}_stable_id"), F.col("inactive_only").alias("_inactive"), F.col("candidates").alias("_hits")
         )
         joined = rows.join(resolved, column, "left")
@@ -206,7 +208,8 @@ def _unique_names(rows: DataFrame) -> DataFrame:
 
 def customer_parents(rows: DataFrame, catalogue: DataFrame, bootstrap: bool = False) -> DataFrame:
     """Parent of each customer: itself (root), a unique name of the batch, a
-    master, or unresolved (a warning; the final parent is NULL)."""
+    master, or unresolved (a warning; the final parent is NULL). Reads ``rows``
+    several times: pass a stored table."""
     if bootstrap:
         masters = reference(rows, "parent_customer_ref", catalogue, "CUSTOMER", bootstrap=True)
     else:
@@ -274,6 +277,17 @@ def parent_cycles(rows: DataFrame) -> DataFrame:
     return _drop_helpers(with_findings(joined, [finding(F.col("_loop"), "MDM_IMPORT_PARENT_CYCLE", field="parent_customer_ref")]))
 
 
+def evaluate_customers(raw: DataFrame, contract: Contract, customer: DataFrame, catalogue: DataFrame, references: dict[str, tuple[str, str]]) -> DataFrame:
+    """A customer file from text to findings, action and references.
+
+    Steps that read their input several times start from a stored table.
+    """
+    rows = stage(start_rows(normalize_rows(raw, contract), contract))
+    rows = stage(customer_identity(rows, customer))
+    rows = stage(operational_references(rows, catalogue, references))
+    return customer_parents(rows, catalogue)
+
+
 # --- products --------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from stockweave.plans import standins as data
 from stockweave.plans.registry import query
 from stockweave.plans.standins import oracle
 from stockweave.sources import contracts
+from stockweave.sources.staging import stage
 
 def one_batch():
     return F.lit("B1").alias("batch_id")
@@ -67,9 +68,9 @@ def reference_catalogue(spark, sf_dir):
 @query(
     "name_match_unique",
     oracle(
-        """SELECT p_name, CASE WHEN active = 1 THEN only END AS matched_sku, n AS candidates, n > 0 AND active = 0 AS inactive_only
+        """SELECT p_name, CASE WHEN active = 1 THEN one_id END AS matched_sku, n AS candidates, n > 0 AND active = 0 AS inactive_only
 FROM (SELECT DISTINCT p_name FROM part) LEFT JOIN (SELECT sku_name AS p_name, count(*) AS n, count(*) FILTER (sku_status = 'ACTIVE') AS active,
-  min(sku_id) FILTER (sku_status = 'ACTIVE') AS only FROM m_sku GROUP BY 1) USING (p_name)"""
+  min(sku_id) FILTER (sku_status = 'ACTIVE') AS one_id FROM m_sku GROUP BY 1) USING (p_name)"""
     ),
 )
 def name_match_unique(spark, sf_dir):
@@ -143,14 +144,10 @@ def customer_file(spark, sf_dir):
 
 
 def evaluated_customers(spark, sf_dir):
-    rows = contracts.normalize_rows(customer_file(spark, sf_dir), contracts.CUSTOMER)
-    rows = master_import.start_rows(rows, contracts.CUSTOMER)
-    rows = master_import.customer_identity(rows, data.customer(spark, sf_dir))
-    catalogue = master_catalogue(spark, sf_dir)
-    rows = master_import.operational_references(
-        rows, catalogue, {"channel": ("channel_ref", "CHANNEL"), "salesrep": ("salesrep_ref", "SALESREP"), "region": ("region_ref", "REGION")}
-    )
-    return findings.finalize(master_import.customer_parents(rows, catalogue))
+    catalogue = stage(master_catalogue(spark, sf_dir))
+    references = {"channel": ("channel_ref", "CHANNEL"), "salesrep": ("salesrep_ref", "SALESREP"), "region": ("region_ref", "REGION")}
+    rows = master_import.evaluate_customers(customer_file(spark, sf_dir), contracts.CUSTOMER, data.customer(spark, sf_dir), catalogue, references)
+    return findings.finalize(rows)
 
 
 _CUSTOMER = [
@@ -339,7 +336,7 @@ def sku_import(spark, sf_dir):
         },
     )
     rows = master_import.block_invalid_dates(master_import.start_rows(contracts.normalize_rows(rows, contracts.SKU_V1), contracts.SKU_V1))
-    rows = findings.finalize(master_import.sku_identity(rows, data.sku(spark, sf_dir), master_catalogue(spark, sf_dir)))
+    rows = findings.finalize(master_import.sku_identity(stage(rows), data.sku(spark, sf_dir), stage(master_catalogue(spark, sf_dir))))
     return rows.select("row_number", "status", "action", _codes())
 
 
@@ -463,7 +460,7 @@ def bootstrap_customers(spark, sf_dir):
     rows = contracts.normalize_rows(customer_file(spark, sf_dir), contracts.CUSTOMER).withColumn("findings", findings.no_findings()).withColumn("action", F.lit("NEW"))
     exclusions = spark.createDataFrame([("MACHINERY", "NON_SALES", "intercompany")], "source_value string, classification string, exclusion_reason string")
     historical = spark.createDataFrame([("FURNITURE", "closed")], "channel_name string, reason string")
-    done = master_import.bootstrap_customers(rows, master_catalogue(spark, sf_dir), exclusions, historical)
+    done = master_import.bootstrap_customers(stage(rows), stage(master_catalogue(spark, sf_dir)), exclusions, historical)
     return done.select("row_number", _codes(), "excluded")
 
 
@@ -512,7 +509,7 @@ def bootstrap_skus(spark, sf_dir):
 
 def review_tables(spark, sf_dir):
     """The customer import staged for review; two thirds of its warnings are acknowledged."""
-    rows = evaluated_customers(spark, sf_dir)
+    rows = stage(evaluated_customers(spark, sf_dir))
     found = findings.finding_rows(rows, "batch_id").select(
         "batch_id",
         F.lit(1).alias("review_version"),
