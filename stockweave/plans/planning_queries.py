@@ -10,6 +10,7 @@ from stockweave.operators.findings import finding_counts, no_findings, with_find
 from stockweave.plans import standins as data
 from stockweave.plans.registry import query
 from stockweave.plans.standins import oracle
+from stockweave.sources.staging import stage
 
 _QTY = "DECIMAL(18,3)"
 
@@ -462,6 +463,16 @@ def unambiguous_lot_revision(spark, sf_dir):
 # --- cycles ----------------------------------------------------------------
 
 
+def stored_facts(spark, sf_dir, *names):
+    """Monthly facts and future supply as their commits would have stored them."""
+    build = {
+        "actuals": lambda: feeds.actual_channel_months(valid_actuals(spark, sf_dir)),
+        "inventory": lambda: feeds.inventory_months(planning_inventory(spark, sf_dir), ["product_id"], "dataset_version_id"),
+        "incoming": lambda: valid_incoming(spark, sf_dir).select("product_id", "shipment_qty", "eta", "warehouse_entry_recorded"),
+    }
+    return {name: stage(build[name]()) for name in names}
+
+
 def month_id(month) -> F.Column:
     return (F.year(month) * 100 + F.month(month)).cast("bigint")
 
@@ -514,9 +525,9 @@ def versions(spark, sf_dir):
     return months.select(F.inline(kinds), "m").select("dataset_version_id", "dataset_type", F.col("m").alias("period_start"), F.col("m").alias("period_end"))
 
 
-def forecast_lines(spark, sf_dir):
+def forecast_lines(spark, sf_dir, facts):
     """Last year's shipments as forecast of every cycle whose horizon holds the month."""
-    last_year = feeds.actual_channel_months(valid_actuals(spark, sf_dir)).filter("shipped_qty > 0")
+    last_year = facts["actuals"].filter("shipped_qty > 0")
     spread = last_year.select(
         "channel_id", "product_id", F.add_months("actual_month", 12).alias("forecast_month"), F.col("shipped_qty").alias("forecast_qty"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")
     )
@@ -525,43 +536,42 @@ def forecast_lines(spark, sf_dir):
     return keyed.join(cycles(spark, sf_dir).select("cycle_id"), "cycle_id", "left_semi")
 
 
-def final_orders(spark, sf_dir):
+def final_orders(spark, sf_dir, facts):
     """A cycle's order per product: its forecast for the cycle's own month."""
-    own = forecast_lines(spark, sf_dir).filter(month_id("forecast_month") == F.col("cycle_id"))
+    own = forecast_lines(spark, sf_dir, facts).filter(month_id("forecast_month") == F.col("cycle_id"))
     return own.groupBy("cycle_id", "product_id").agg(F.sum("forecast_qty").cast("decimal(18,3)").alias("order_qty")).withColumn(
         "status", F.when(F.col("product_id") % 2 == 0, "CONFIRMED").otherwise("UNCONFIRMED")
     )
 
 
-def product_month_fact(spark, sf_dir):
-    return feeds.inventory_months(planning_inventory(spark, sf_dir), ["product_id"], "dataset_version_id")
+def product_month_fact(spark, sf_dir, facts):
+    return facts["inventory"]
 
 
-def actual_month_fact(spark, sf_dir):
-    fact = feeds.actual_channel_months(valid_actuals(spark, sf_dir))
-    return fact.withColumn("dataset_version_id", month_id("actual_month") + 2_000_000)
+def actual_month_fact(spark, sf_dir, facts):
+    return facts["actuals"].withColumn("dataset_version_id", month_id("actual_month") + 2_000_000)
 
 
-def supply_lines(spark, sf_dir):
-    return valid_incoming(spark, sf_dir).withColumn("incoming_snapshot_id", F.lit(1).cast("bigint"))
+def supply_lines(spark, sf_dir, facts):
+    return facts["incoming"].withColumn("incoming_snapshot_id", F.lit(1).cast("bigint"))
 
 
-def buckets(spark, sf_dir):
-    return cycle.incoming_buckets(cycles(spark, sf_dir), supply_lines(spark, sf_dir))
+def buckets(spark, sf_dir, facts):
+    return cycle.incoming_buckets(cycles(spark, sf_dir), supply_lines(spark, sf_dir, facts))
 
 
-def cycle_products(spark, sf_dir):
+def cycle_products(spark, sf_dir, facts):
     supply = cycles(spark, sf_dir).select("cycle_id", "incoming_snapshot_id").join(
-        supply_lines(spark, sf_dir).select("incoming_snapshot_id", "product_id").distinct(), "incoming_snapshot_id"
+        supply_lines(spark, sf_dir, facts).select("incoming_snapshot_id", "product_id").distinct(), "incoming_snapshot_id"
     )
     return cycle.workbench_products(
         bindings(spark, sf_dir),
         versions(spark, sf_dir),
-        product_month_fact(spark, sf_dir),
-        actual_month_fact(spark, sf_dir),
+        product_month_fact(spark, sf_dir, facts),
+        actual_month_fact(spark, sf_dir, facts),
         supply,
-        forecast_lines(spark, sf_dir),
-        final_orders(spark, sf_dir),
+        forecast_lines(spark, sf_dir, facts),
+        final_orders(spark, sf_dir, facts),
     )
 
 
@@ -571,12 +581,12 @@ def cycle_channels(spark, sf_dir):
     return numbers.join(data.channel(spark, sf_dir).select("channel_id", F.lit(1).alias("_all")), "_all").drop("_all")
 
 
-def cells(spark, sf_dir):
-    return cycle.forecast_cells(cycles(spark, sf_dir), forecast_lines(spark, sf_dir))
+def cells(spark, sf_dir, facts):
+    return cycle.forecast_cells(cycles(spark, sf_dir), forecast_lines(spark, sf_dir, facts))
 
 
-def grid(spark, sf_dir):
-    return cycle.forecast_grid(cells(spark, sf_dir), cycle_products(spark, sf_dir), cycle_channels(spark, sf_dir))
+def grid(spark, sf_dir, facts):
+    return cycle.forecast_grid(cells(spark, sf_dir, facts), cycle_products(spark, sf_dir, facts), cycle_channels(spark, sf_dir))
 
 
 _CYCLES = [
@@ -649,22 +659,26 @@ def baseline_states(spark, sf_dir):
 
 @query("workbench_opening", oracle("SELECT * FROM opening", *_CYCLES))
 def workbench_opening(spark, sf_dir):
-    return cycle.openings(baseline_states(spark, sf_dir), product_month_fact(spark, sf_dir))
+    facts = stored_facts(spark, sf_dir, "inventory")
+    return cycle.openings(baseline_states(spark, sf_dir), product_month_fact(spark, sf_dir, facts))
 
 
 @query("incoming_buckets", oracle("SELECT * FROM bucket", *_CYCLES))
 def incoming_buckets(spark, sf_dir):
-    return buckets(spark, sf_dir)
+    facts = stored_facts(spark, sf_dir, "incoming")
+    return buckets(spark, sf_dir, facts)
 
 
 @query("workbench_products", oracle("SELECT * FROM wp", *_CYCLES))
 def workbench_products(spark, sf_dir):
-    return cycle_products(spark, sf_dir)
+    facts = stored_facts(spark, sf_dir, "actuals", "inventory", "incoming")
+    return cycle_products(spark, sf_dir, facts)
 
 
 @query("forecast_grid", oracle("SELECT * FROM grid", *_CYCLES))
 def forecast_grid(spark, sf_dir):
-    return grid(spark, sf_dir)
+    facts = stored_facts(spark, sf_dir, "actuals", "inventory", "incoming")
+    return grid(spark, sf_dir, facts)
 
 
 @query(
@@ -672,12 +686,13 @@ def forecast_grid(spark, sf_dir):
     oracle("SELECT * FROM totals WHERE (cycle_id, product_id) IN (SELECT (cycle_id, product_id) FROM fc)", *_CYCLES),
 )
 def forecast_month_totals(spark, sf_dir):
-    return cycle.forecast_totals(cells(spark, sf_dir), cycle_channels(spark, sf_dir))
+    facts = stored_facts(spark, sf_dir, "actuals")
+    return cycle.forecast_totals(cells(spark, sf_dir, facts), cycle_channels(spark, sf_dir))
 
 
-def product_identity(spark, sf_dir):
+def product_identity(spark, sf_dir, facts):
     masters = data.product(spark, sf_dir).select("product_id", "product_code", "product_name")
-    wanted = cycle_products(spark, sf_dir)
+    wanted = cycle_products(spark, sf_dir, facts)
     frozen = wanted.join(masters, "product_id").filter(F.col("product_id") % 10 != 0).withColumn("product_name", F.concat(F.lit("Frozen "), F.col("product_name")))
     return cycle.identities(cycles(spark, sf_dir), wanted, masters, frozen, "product_id")
 
@@ -692,7 +707,8 @@ FROM (SELECT w.*, status, status = 'LOCKED' AND product_id % 10 = 0 AS gap FROM
     ),
 )
 def cycle_identity(spark, sf_dir):
-    return product_identity(spark, sf_dir)
+    facts = stored_facts(spark, sf_dir, "actuals", "inventory", "incoming")
+    return product_identity(spark, sf_dir, facts)
 
 
 _INCOMING = ", ".join(f"CASE WHEN snapshot = 1 THEN coalesce(incoming_{n}, 0) END AS incoming_{n}" for n in range(4))
@@ -714,17 +730,18 @@ LEFT JOIN bucket USING (cycle_id, product_id) LEFT JOIN totals USING (cycle_id,
 )
 def four_month_projection(spark, sf_dir):
     """The workbench: identity, opening, supply, forecast, order, projection."""
-    products = cycle_products(spark, sf_dir)
+    facts = stored_facts(spark, sf_dir, "actuals", "inventory", "incoming")
+    products = stage(cycle_products(spark, sf_dir, facts))
     masters = data.product(spark, sf_dir).select("product_id", "product_code", "product_name")
     identity = products.join(masters, "product_id")
     return cycle.workbench_rows(
         cycles(spark, sf_dir),
         products,
         identity,
-        workbench_opening(spark, sf_dir),
-        buckets(spark, sf_dir),
-        forecast_month_totals(spark, sf_dir),
-        final_orders(spark, sf_dir),
+        cycle.openings(baseline_states(spark, sf_dir), product_month_fact(spark, sf_dir, facts)),
+        buckets(spark, sf_dir, facts),
+        cycle.forecast_totals(cells(spark, sf_dir, facts), cycle_channels(spark, sf_dir)),
+        final_orders(spark, sf_dir, facts),
     )
 
 

@@ -13,6 +13,7 @@ from stockweave.operators import dashboard, publishing
 from stockweave.plans.registry import query
 from stockweave.plans.sales_queries import mapped_rows
 from stockweave.plans.standins import SOURCE_SYSTEM, oracle
+from stockweave.sources.staging import stage
 from stockweave.sources.registry import accepted_files, gate_duplicates, raw_payload, restage_outcome
 
 QTY = "DECIMAL(28,4)"
@@ -36,7 +37,11 @@ def batch_rows(spark, sf_dir):
     )
 
 
-def batches(spark, sf_dir):
+def stored_rows(spark, sf_dir):
+    return stage(batch_rows(spark, sf_dir))
+
+
+def batches(rows):
     ready, qty = F.col("status") == "READY", F.col("actual_qty")
 
     def total(when=None):
@@ -44,7 +49,7 @@ def batches(spark, sf_dir):
         return F.coalesce(F.sum(value), F.lit(0)).cast("decimal(28,4)")
 
     counted = (
-        batch_rows(spark, sf_dir)
+        rows
         .groupBy("batch_id", "source_system", "snapshot_month", "kind")
         .agg(
             F.count(F.lit(1)).alias("total_rows"),
@@ -78,13 +83,13 @@ def batches(spark, sf_dir):
     )
 
 
-def candidates(spark, sf_dir):
-    return batch_rows(spark, sf_dir).filter(F.col("status") == "READY").drop("source_row_no", "sales_date", "actual_qty", "source_document_no", "source_line_no", "source_system", "snapshot_month", "status")
+def candidates(rows):
+    return rows.filter(F.col("status") == "READY").drop("source_row_no", "sales_date", "actual_qty", "source_document_no", "source_line_no", "source_system", "snapshot_month", "status")
 
 
-def current_fact(spark, sf_dir):
-    rows = batch_rows(spark, sf_dir).filter((F.col("kind") == "C") & (F.col("status") == "READY"))
-    return rows.select(F.col("batch_id").alias("import_batch_id"), *publishing.FACT_COLUMNS)
+def current_fact(rows):
+    current = rows.filter((F.col("kind") == "C") & (F.col("status") == "READY"))
+    return current.select(F.col("batch_id").alias("import_batch_id"), *publishing.FACT_COLUMNS)
 
 
 _TAGGED = """tag AS (
@@ -113,9 +118,8 @@ _GATE = f"""gate AS (
     FROM bat b LEFT JOIN bat c ON c.kind = 'C' AND c.snapshot_month = b.snapshot_month)))"""
 
 
-def gate(spark, sf_dir):
-    rows = batch_rows(spark, sf_dir)
-    return publishing.publish_gate(batches(spark, sf_dir), rows, rows.filter(F.col("status") == "READY").select("import_row_id", "batch_id"), current_fact(spark, sf_dir))
+def gate(rows):
+    return publishing.publish_gate(batches(rows), rows, rows.filter(F.col("status") == "READY").select("import_row_id", "batch_id"), current_fact(rows))
 
 
 @query(
@@ -127,14 +131,15 @@ FROM bat, (VALUES ('ready_count'), ('candidate_count')) v(label) WHERE true_read
     ),
 )
 def preview_integrity(spark, sf_dir):
-    rows = batch_rows(spark, sf_dir)
+    rows = stored_rows(spark, sf_dir)
     ready = rows.filter(F.col("status") == "READY").select("import_row_id", "batch_id")
-    return publishing.preview_integrity(batches(spark, sf_dir), rows, ready)
+    return publishing.preview_integrity(batches(rows), rows, ready)
 
 
 @query("month_replace_gate", oracle("SELECT * FROM gate", _TAGGED, _BATCHES, _GATE))
 def month_replace_gate(spark, sf_dir):
-    shown = gate(spark, sf_dir).drop("source_system", "current_data_end_date", "current_fact_qty")
+    rows = stored_rows(spark, sf_dir)
+    shown = gate(rows).drop("source_system", "current_data_end_date", "current_fact_qty")
     return shown.withColumns({c: F.array_join(c, ",") for c in ("blocking", "required_confirmations", "warnings")})
 
 
@@ -149,12 +154,13 @@ FROM (SELECT *, month(snapshot_month) IN (2, 6, 12) AS given FROM gate)""",
     ),
 )
 def publish_verdict(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("batch_id", "verdict")
+    rows = stored_rows(spark, sf_dir)
+    return verdicts(rows).select("batch_id", "verdict")
 
 
-def verdicts(spark, sf_dir):
-    view = gate(spark, sf_dir)
-    given = batches(spark, sf_dir).filter(F.month("snapshot_month").isin(2, 6, 12)).select("batch_id", F.lit(publishing.DROP_CONFIRMATION).alias("confirmation_code"))
+def verdicts(rows):
+    view = gate(rows)
+    given = batches(rows).filter(F.month("snapshot_month").isin(2, 6, 12)).select("batch_id", F.lit(publishing.DROP_CONFIRMATION).alias("confirmation_code"))
     return publishing.confirmation_verdict(view, given)
 
 
@@ -163,9 +169,9 @@ _VERDICT = """published AS (
   WHERE kind = 'N' AND month(snapshot_month) % 4 = 0)"""
 
 
-def published(spark, sf_dir):
+def published(rows):
     """Batches taken as published: the whole-month ones."""
-    return batches(spark, sf_dir).filter((F.col("status") == "PREVIEW_READY") & (F.month("snapshot_month") % 4 == 0))
+    return batches(rows).filter((F.col("status") == "PREVIEW_READY") & (F.month("snapshot_month") % 4 == 0))
 
 
 @query(
@@ -177,7 +183,8 @@ def published(spark, sf_dir):
     ),
 )
 def fact_build(spark, sf_dir):
-    fact = publishing.build_fact(batch_rows(spark, sf_dir), candidates(spark, sf_dir), published(spark, sf_dir))
+    rows = stored_rows(spark, sf_dir)
+    fact = publishing.build_fact(rows, candidates(rows), published(rows))
     return fact.select("import_batch_id", "import_row_id", "source_document_no", "source_line_no", "snapshot_month", "actual_qty", "sku_id", "product_id", "customer_id")
 
 
@@ -190,9 +197,10 @@ WHERE status = 'READY' AND CASE WHEN month(snapshot_month) % 4 = 0 THEN kind = '
     ),
 )
 def month_replace(spark, sf_dir):
-    chosen = published(spark, sf_dir)
-    fresh = publishing.build_fact(batch_rows(spark, sf_dir), candidates(spark, sf_dir), chosen)
-    after = publishing.replace_months(current_fact(spark, sf_dir), fresh, chosen)
+    rows = stored_rows(spark, sf_dir)
+    chosen = published(rows)
+    fresh = publishing.build_fact(rows, candidates(rows), chosen)
+    after = publishing.replace_months(current_fact(rows), fresh, chosen)
     return after.groupBy("snapshot_month", "import_batch_id").agg(F.count(F.lit(1)).alias("fact_rows"), F.sum("actual_qty").cast("decimal(28,4)").alias("fact_qty"))
 
 
@@ -206,7 +214,8 @@ def month_replace(spark, sf_dir):
     ),
 )
 def batch_lineage(spark, sf_dir):
-    after = publishing.apply_lineage(batches(spark, sf_dir), published(spark, sf_dir), F.lit("2002-02-02").cast("date"))
+    rows = stored_rows(spark, sf_dir)
+    after = publishing.apply_lineage(batches(rows), published(rows), F.lit("2002-02-02").cast("date"))
     return after.select("batch_id", "status", "replaced_by_batch_id")
 
 
@@ -219,10 +228,11 @@ def batch_lineage(spark, sf_dir):
     ),
 )
 def publish_confirmations(spark, sf_dir):
-    view = gate(spark, sf_dir)
+    rows = stored_rows(spark, sf_dir)
+    view = gate(rows)
     accepted = view.filter(F.col("gate_status") == publishing.REQUIRES_CONFIRMATION)
-    rows = publishing.confirmation_rows(view, accepted, "planner", F.current_timestamp())
-    return rows.select("batch_id", "confirmation_code", "existing_published_batch_id", "drop_ratio")
+    recorded = publishing.confirmation_rows(view, accepted, "planner", F.current_timestamp())
+    return recorded.select("batch_id", "confirmation_code", "existing_published_batch_id", "drop_ratio")
 
 
 # --- current snapshots -----------------------------------------------------
@@ -238,12 +248,13 @@ FROM bat WHERE kind = 'C'""",
     ),
 )
 def current_batch(spark, sf_dir):
-    return dashboard.current_batches(doubtful_batches(spark, sf_dir))
+    rows = stored_rows(spark, sf_dir)
+    return dashboard.current_batches(doubtful_batches(rows))
 
 
-def doubtful_batches(spark, sf_dir):
+def doubtful_batches(rows):
     """Batches in which every September has two current ones."""
-    frame = batches(spark, sf_dir)
+    frame = batches(rows)
     again = frame.filter((F.month("snapshot_month") == 9) & dashboard.is_current())
     return frame.unionByName(again.withColumn("batch_id", F.concat(F.lit("D"), F.substring("batch_id", 2, 10))))
 
@@ -259,9 +270,10 @@ UNION ALL SELECT 'X-' || strftime(snapshot_month, '%Y%m'), NULL, NULL, NULL, 'NO
     ),
 )
 def requested_batch_check(spark, sf_dir):
-    frame = batches(spark, sf_dir)
+    rows = stored_rows(spark, sf_dir)
+    frame = batches(rows)
     unknown = frame.filter(dashboard.is_current()).select(F.concat(F.lit("X"), F.substring("batch_id", 2, 10)).alias("batch_id"))
-    return dashboard.check_requested(frame.select("batch_id").unionByName(unknown), doubtful_batches(spark, sf_dir))
+    return dashboard.check_requested(frame.select("batch_id").unionByName(unknown), doubtful_batches(rows))
 
 
 @query(
@@ -273,8 +285,9 @@ def requested_batch_check(spark, sf_dir):
     ),
 )
 def snapshot_integrity(spark, sf_dir):
-    fact = current_fact(spark, sf_dir).drop("import_batch_id")
-    return dashboard.snapshot_integrity(fact, batch_rows(spark, sf_dir), batches(spark, sf_dir))
+    rows = stored_rows(spark, sf_dir)
+    fact = current_fact(rows).drop("import_batch_id")
+    return dashboard.snapshot_integrity(fact, rows, batches(rows))
 
 
 @query(
@@ -286,8 +299,9 @@ def snapshot_integrity(spark, sf_dir):
     ),
 )
 def scoped_fact_summary(spark, sf_dir):
-    fact = current_fact(spark, sf_dir).drop("import_batch_id")
-    bound = dashboard.bind_fact(fact, batch_rows(spark, sf_dir), batches(spark, sf_dir))
+    rows = stored_rows(spark, sf_dir)
+    fact = current_fact(rows).drop("import_batch_id")
+    bound = dashboard.bind_fact(fact, rows, batches(rows))
     return dashboard.summary(dashboard.apply_filters(bound, dashboard.Filters(channel_ids=(None,))))
 
 
@@ -296,7 +310,8 @@ def scoped_fact_summary(spark, sf_dir):
     oracle("SELECT batch_id, snapshot_month, ready_rows, ready_qty FROM bat WHERE kind = 'C' AND month(snapshot_month) <> 9", _TAGGED, _BATCHES),
 )
 def available_months(spark, sf_dir):
-    return dashboard.available_months(doubtful_batches(spark, sf_dir)).select("batch_id", "snapshot_month", "ready_rows", "ready_qty")
+    rows = stored_rows(spark, sf_dir)
+    return dashboard.available_months(doubtful_batches(rows)).select("batch_id", "snapshot_month", "ready_rows", "ready_qty")
 
 
 @query(
@@ -308,7 +323,8 @@ def available_months(spark, sf_dir):
     ),
 )
 def latest_month(spark, sf_dir):
-    return dashboard.latest_month(doubtful_batches(spark, sf_dir))
+    rows = stored_rows(spark, sf_dir)
+    return dashboard.latest_month(doubtful_batches(rows))
 
 
 @query(
@@ -319,8 +335,9 @@ def latest_month(spark, sf_dir):
     ),
 )
 def batch_listing(spark, sf_dir):
-    rows = batches(spark, sf_dir).filter(F.col("status") == "PREVIEW_READY").select("batch_id", "snapshot_month", "status", "total_rows")
-    return dashboard.page(rows, [F.col("snapshot_month").desc(), F.col("batch_id").asc()], 1, 20)
+    rows = stored_rows(spark, sf_dir)
+    listed = batches(rows).filter(F.col("status") == "PREVIEW_READY").select("batch_id", "snapshot_month", "status", "total_rows")
+    return dashboard.page(listed, [F.col("snapshot_month").desc(), F.col("batch_id").asc()], 1, 20)
 
 
 # --- deliveries ------------------------------------------------------------
@@ -335,7 +352,8 @@ def batch_listing(spark, sf_dir):
     ),
 )
 def duplicate_file_gate(spark, sf_dir):
-    hashed = batches(spark, sf_dir).withColumn("file_hash", F.sha2("batch_id", 256)).select("batch_id", "file_hash", "snapshot_month")
+    rows = stored_rows(spark, sf_dir)
+    hashed = batches(rows).withColumn("file_hash", F.sha2("batch_id", 256)).select("batch_id", "file_hash", "snapshot_month")
     old = hashed.filter(F.col("batch_id").startswith("N") & (F.month("snapshot_month") % 3 == 0)).withColumn("batch_id", F.concat(F.lit("OLD-"), "batch_id"))
     return gate_duplicates(hashed, old, ["file_hash"]).select("batch_id", "duplicate_of", "accepted")
 
@@ -345,7 +363,8 @@ def duplicate_file_gate(spark, sf_dir):
     oracle("SELECT batch_id FROM bat WHERE NOT (kind = 'N' AND month(snapshot_month) % 3 = 0)", _TAGGED, _BATCHES),
 )
 def accepted_deliveries(spark, sf_dir):
-    hashed = batches(spark, sf_dir).withColumn("file_hash", F.sha2("batch_id", 256)).select("batch_id", "file_hash", "snapshot_month")
+    rows = stored_rows(spark, sf_dir)
+    hashed = batches(rows).withColumn("file_hash", F.sha2("batch_id", 256)).select("batch_id", "file_hash", "snapshot_month")
     old = hashed.filter(F.col("batch_id").startswith("N") & (F.month("snapshot_month") % 3 == 0))
     return accepted_files(hashed, old, ["file_hash"]).select("batch_id")
 
@@ -358,7 +377,8 @@ def accepted_deliveries(spark, sf_dir):
     ),
 )
 def restage(spark, sf_dir):
-    staged = batches(spark, sf_dir).select("batch_id", F.lit("CUSTOMER").alias("entity_type"), F.lit("OPERATIONAL").alias("import_mode"), F.sha2("batch_id", 256).alias("file_hash"))
+    rows = stored_rows(spark, sf_dir)
+    staged = batches(rows).select("batch_id", F.lit("CUSTOMER").alias("entity_type"), F.lit("OPERATIONAL").alias("import_mode"), F.sha2("batch_id", 256).alias("file_hash"))
     stored = staged.filter(~F.col("batch_id").startswith("S")).withColumn("file_hash", F.when(F.col("batch_id").startswith("N"), F.lit("0")).otherwise(F.col("file_hash")))
     return restage_outcome(staged, stored).select("batch_id", "outcome")
 
