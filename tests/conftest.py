@@ -4,9 +4,8 @@ from tests.compare import session
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     spark = session(4)
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     return spark

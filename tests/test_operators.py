@@ -26,7 +26,7 @@ def test_projection(spark):
 
 def test_projection_long_form_agrees(spark):
     rows = [(1, MONTHS[i], 41, [13, 0, 0, 0][i], [5, 6, None, 8][i]) for i in range(4)]
-    plan = spark.createDataFrame(rows, "k int, month date, opening_qty decimal(18,3), incoming_qty decimal(18,3), forecast_qty decimal(18,3)")
+    plan = spark.createDataFrame(rows, "k int, month date, opening_qty int, incoming_qty int, forecast_qty int")
     got = [r.projected_qty for r in cycle.project_months(plan, ["k"]).orderBy("month").collect()]
     assert got == [49, 43, None, None]
 
