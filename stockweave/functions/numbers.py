@@ -84,9 +84,13 @@ def plain_text(number: Column | str) -> Column:
 
 
 def share(part: Column | str, total: Column | str) -> Column:
-    """Part of total, six places half-even, 0 when the total is 0 or missing."""
+    """Part of total, six places half-even, 0 when the total is 0 or missing.
+
+    Operands of 22 digits leave the quotient 16 decimals; with 28 digits it
+    would keep ten, too few to tell a tie from a value just above it.
+    """
     part, total = F.coalesce(col(part), F.lit(0)), F.coalesce(col(total), F.lit(0))
-    quotient = part.cast("decimal(28,4)") / F.when(total != 0, total).cast("decimal(28,4)")
+    quotient = part.cast("decimal(22,4)") / F.when(total != 0, total).cast("decimal(22,4)")
     return F.coalesce(F.bround(quotient, 6), F.lit(0)).cast("decimal(18,6)")
 
 
