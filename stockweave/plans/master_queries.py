@@ -510,14 +510,15 @@ def bootstrap_skus(spark, sf_dir):
 def review_tables(spark, sf_dir):
     """The customer import staged for review; two thirds of its warnings are acknowledged."""
     rows = stage(evaluated_customers(spark, sf_dir))
-    found = findings.finding_rows(rows, "batch_id").select(
+    # A finding is identified by its row and its place among the row's findings.
+    found = rows.select("batch_id", F.posexplode("findings").alias("place", "f")).select(
         "batch_id",
         F.lit(1).alias("review_version"),
-        data.digest_id(F.col("row_number").cast("string"), F.col("code"), F.coalesce("candidate_key", F.lit(""))).alias("finding_id"),
+        (F.col("f.row_number") * 100 + F.col("place")).alias("finding_id"),
         F.lit(None).cast("bigint").alias("origin_id"),
-        F.col("row_number"),
-        "code",
-        "severity",
+        "f.row_number",
+        "f.code",
+        "f.severity",
     )
     staged = rows.select(
         "batch_id",
@@ -559,13 +560,13 @@ def row_readiness(spark, sf_dir):
     "review_roll",
     oracle(
         """SELECT v AS review_version, 'FINDINGS' AS entry, (SELECT count(*) FROM cust_found) AS entries FROM (VALUES (1), (2)) t(v)
-UNION ALL SELECT 2, 'DECISIONS', count(DISTINCT (row_number, code)) FROM cust_found WHERE severity = 'WARNING' AND row_number % 3 <> 0""",
+UNION ALL SELECT 2, 'DECISIONS', count(*) FROM cust_found WHERE severity = 'WARNING' AND row_number % 3 <> 0""",
         *_CUSTOMER,
     ),
 )
 def review_roll(spark, sf_dir):
     _, batches, found, decisions, requests = review_tables(spark, sf_dir)
-    _, found, decisions = review.roll_version(batches, found.distinct(), decisions, requests)
+    _, found, decisions = review.roll_version(batches, found, decisions, requests)
     counted = [
         frame.groupBy("review_version").agg(F.count(F.lit(1)).alias("entries")).select("review_version", F.lit(label).alias("entry"), "entries")
         for frame, label in ((found, "FINDINGS"), (decisions, "DECISIONS"))
