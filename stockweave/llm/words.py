@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MASK = (1 << 64) - 1
 BASE, WORD_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -92,7 +93,7 @@ class Words:
 
 def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Runs [begin, end) of documents of about `limit` bytes."""
-    sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)) if len(texts) else np.zeros(0, np.int64)
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)) if len(texts) else np.zeros(0, np.int64)
     begin = 0
     while begin < len(texts):
         base = sizes[begin - 1] if begin else 0
@@ -103,7 +104,7 @@ def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as non-null strings: null counts as empty."""
-    return pa.compute.fill_null(batch.column(name), "")
+    return pc.fill_null(batch.column(name), "")
 
 
 def signed(x: np.ndarray) -> np.ndarray:
