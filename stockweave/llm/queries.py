@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join, quality_rules, source_mixing
+from . import decontamination, line_dedup, ngram_join, quality_rules, source_mixing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_source_mixing": source_mixing.op3,
+    "op5_decontamination": decontamination.op5,
     "op6_ngram_join": ngram_join.op6,
 }
 SQL = {

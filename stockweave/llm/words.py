@@ -15,6 +15,9 @@ MASK = (1 << 64) - 1
 BASE, WORD_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation, for operators that compare words without their punctuation.
+PUNCTUATION = SPACES.copy()
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,14 +60,14 @@ def window_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 class Words:
     """Words of a run of documents: `hashes` of all words, `first[d]:first[d + 1]` those of document d."""
 
-    def __init__(self, texts: pa.Array, fold: bool = False):
+    def __init__(self, texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACES):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         raw = texts.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
         n = len(self.data)
-        inside = ~SPACES[self.data]
+        inside = ~gaps[self.data]
         cut = np.zeros(n + 1, bool)
         cut[self.offsets] = True
         before, after = np.empty(n, bool), np.empty(n, bool)
