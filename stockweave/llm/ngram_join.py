@@ -6,7 +6,7 @@ Order. Elements are ordered by document frequency, counted over all documents in
 
 Classes. Documents with equal sets are one class from the start (128-bit digest of the set), so exact copies never form pairs. One row per document gives its class; only the class's smallest doc_id goes on.
 
-Pairs. A document posts the prefix of its ordered set. First every posting meets only the smallest document of its n-gram: as many pairs as postings. Links found so far join documents; then only n-grams whose documents are still in several components make pairs, and only pairs across components, since others change nothing. So a group of near copies costs rows in proportion to its size, and no link between components is lost. Postings meet by a plain join on the n-gram, which the skew join may split. The suffix filter compares counts of the two sets per hash range: the sum of the smaller counts bounds the common part. Pairs that pass are verified on their whole sets.
+Pairs. A document posts the prefix of its ordered set. First every posting meets only one document of its n-gram, the one that has it earliest: as many pairs as postings. Links found so far join documents; then only n-grams whose documents are still in several components make pairs, and only pairs across components, since others change nothing. So a group of near copies costs rows in proportion to its size, and no link between components is lost. Postings meet by a plain join on the n-gram, which the skew join may split. The suffix filter compares counts of the two sets per hash range: the sum of the smaller counts bounds the common part. Pairs that pass are verified on their whole sets.
 
 Rows with a null doc_id take no part and get a null component; rows that share a doc_id are one document with the links of each; null text is empty; other columns are not read. Sets are compared by 64-bit hashes of their n-grams.
 """
@@ -150,11 +150,12 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     ours = written(ours.select("doc_id", "n", "prefix", "ranges"), "representatives")
 
     posted = ours.select("doc_id", "n", F.posexplode("prefix").alias("p", "gram"))
-    first = posted.groupBy("gram").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("gram", "hub")
-    posted = written(posted.join(first, "gram"), "postings")  # n-grams in two documents or more
+    # rare n-grams come first, so the document with the n-gram earliest is the least altered of a group: most others link with it
+    hubs = posted.groupBy("gram").agg(F.min_by("doc_id", "p").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("gram", "hub")
+    posted = written(posted.join(written(hubs, "hubs"), "gram"), "postings")  # n-grams in two documents or more
     hubs = posted.filter("doc_id = hub").select("gram", F.col("n").alias("hub_n"), F.col("p").alias("hub_p"))
-    near = posted.filter("doc_id > hub").join(hubs, "gram").filter(_can_link(percent, F.col("n"), F.col("p"), F.col("hub_n"), F.col("hub_p")))
-    tried = written(near.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "hub-pairs")
+    near = posted.filter("doc_id <> hub").join(hubs, "gram").filter(_can_link(percent, F.col("n"), F.col("p"), F.col("hub_n"), F.col("hub_p")))
+    tried = written(near.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "hub-pairs")
     links = written(_verified(docs, ours, tried, n, percent), "hub-links")
 
     so_far = components(links)
