@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import written
+
 STRIPPED = b"\t\n\x0b\x0c\r "
 _LINES = "doc_id bigint, text_hash bigint, h1 bigint, h2 bigint, at array<int>"
 _KEPT = "kept string, n_lines bigint, n_dropped bigint"
@@ -55,6 +57,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
     keyed = docs.withColumn("_line_hash", F.xxhash64("text"))
     lines = keyed.select("doc_id", F.col("_line_hash").alias("text_hash"), "text").mapInArrow(_exploded(min_chars), _LINES)
     frequent = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
+    frequent = written(frequent, "frequent-lines")  # read back as a table of its own, the join on a hot line can be split
     hits = lines.join(frequent, ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_line_drop"))
     hits = hits.withColumnsRenamed({"doc_id": "_line_doc", "text_hash": "_line_text"})
     joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_line_doc")) & (F.col("_line_hash") == F.col("_line_text")), "left")
