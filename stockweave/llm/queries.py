@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, ngram_join, quality_rules, source_mixing, substring_dedup
+from . import decontamination, line_dedup, ngram_join, quality_rules, secret_scan, source_mixing, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_decontamination": decontamination.op5,
     "op6_ngram_join": ngram_join.op6,
     "op7_substring_dedup": substring_dedup.op7,
+    "op8_secret_scan": secret_scan.op8,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
+    "op8_secret_scan": secret_scan.OP8_SQL,
 }
