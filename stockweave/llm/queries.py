@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, ngram_join, quality_rules, secret_scan, source_mixing, substring_dedup
+from . import decontamination, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_source_mixing": source_mixing.op3,
+    "op4_toxicity": toxicity.op4,
     "op5_decontamination": decontamination.op5,
     "op6_ngram_join": ngram_join.op6,
     "op7_substring_dedup": substring_dedup.op7,
     "op8_secret_scan": secret_scan.op8,
+    "op9_language_id": language_id.op9,
+    "op10_quality_classifier": quality_classifier.op10,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
