@@ -2,7 +2,7 @@
 
 Every letter has a random vector of +1 and -1, drawn from its code point. The vector of three letters in a row is the product of the first's rotated twice, the second's rotated once and the third's; whatever is no letter is one boundary symbol. A document bundles (adds) the vectors of all its three-letter runs; a language's prototype bundles the unit vectors of its training documents; the prediction is the prototype with the greatest cosine, ties to the smaller name.
 
-Training reads about `per_language` documents of each language, chosen by hash with the odds that the language's count gives. Every text is read whole; a slice of documents is one product of a count matrix and a block of run vectors, so memory has a bound whatever the script.
+Training reads about `per_language` documents of each of the `max_languages` most frequent languages, chosen by hash with the odds that the language's count gives. Every text is read whole; a slice of documents is one product of a count matrix and a block of run vectors, so memory has a bound whatever the script.
 
 Null texts, and texts without a letter, are `und` with score 0, and so is everything where nothing was learned. Null languages teach nothing. Rows are judged one by one, repeated rows agree, a null doc_id is not held out. The score is the cosine, cut at 0.
 """
@@ -89,10 +89,11 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
 
-def learn(docs: DataFrame, per_language: int = 2_000) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, per_language: int = 2_000, max_languages: int = 5_000) -> tuple[list[str], np.ndarray]:
     """(text, lang, doc_id) -> languages in order, and their unit prototypes."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # one row for each of the most frequent languages: bounded, so texts need no shuffle to meet their count
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = rows.join(counts, "lang").filter(draw < per_language / F.col("n")).select("text", "lang")
     sums = sample.mapInArrow(_bundles, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
