@@ -56,9 +56,9 @@ def identity_key(kind: str, *parts: Column | str) -> Column:
 def last_sequence(ids: DataFrame, id_column: str, prefix: str) -> DataFrame:
     """One row: highest number used in identifiers ``PREFIX000001``."""
     number = F.when(
-        F.col(id_column).rlike(f"^{prefix}[0-9]+$"), F.substring(id_column, len(prefix) + 1, 18).try_cast("bigint")
+        F.col(id_column).rlike(f"^{prefix}[0-9]+$"), F.substr(F.col(id_column), F.lit(len(prefix) + 1)).try_cast("decimal(38,0)")
     )
-    return ids.agg(F.coalesce(F.max(number), F.lit(0)).alias("last_number"))
+    return ids.agg(F.coalesce(F.max(number), F.lit(0).cast("decimal(38,0)")).alias("last_number"))
 
 
 def sequence_text(prefix: str, number: Column | str) -> Column:

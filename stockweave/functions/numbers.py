@@ -7,10 +7,41 @@ from pyspark.sql import functions as F
 
 from stockweave.functions.text import col, normalize_text, strip
 
-_NUMBER = r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
 _NUMBER_SHAPE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-PLANNING_QTY = "decimal(28,10)"
+PLANNING_QTY = "decimal(34,10)"
+#: Numbers whose plain text would be longer than this many zeros have none.
+_LONGEST = 10_000
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once per row, however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _parsed(text: Column, use) -> Column:
+    """use(parts) for a text in number shape, else NULL.
+
+    ``parts``: negative, significant digits (none for zero) and the power of ten
+    of the last one; nothing is rounded and every part is computed once.
+    """
+
+    def of(t: Column) -> Column:
+        lower = F.lower(t)
+        body = F.substring_index(lower, "e", 1)
+        power = F.when(lower.contains("e"), F.substring_index(lower, "e", -1).try_cast("int")).otherwise(0)
+        plain = F.ltrim(body, F.lit("+-"))
+        fraction = F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise("")
+        raw = F.struct(body.startswith("-").alias("negative"), F.concat(F.substring_index(plain, ".", 1), fraction).alias("digits"), (power - F.length(fraction)).alias("power"))
+
+        def reduced(r: Column) -> Column:
+            head = F.rtrim(r["digits"], F.lit("0"))
+            parts = lambda h: F.struct(r["negative"].alias("negative"), F.ltrim(h, F.lit("0")).alias("significant"), (r["power"] + F.length(r["digits"]) - F.length(h)).alias("exponent"))
+            return _let(_let(head, parts), use)
+
+        return F.when(t.rlike(_NUMBER_SHAPE), _let(raw, reduced))
+
+    return _let(text, of)
 
 
 def exact_decimal(value: Column | str, whole_digits: int, scale: int) -> Column:
@@ -19,21 +50,15 @@ def exact_decimal(value: Column | str, whole_digits: int, scale: int) -> Column:
     A cast would round ``1.23456`` to four places; here the text is reduced to
     ``significant digits x 10^e`` and accepted only when nothing is lost.
     """
-    text = strip(value)
-    sign = F.regexp_extract(text, _NUMBER, 1)
-    whole = F.regexp_extract(text, _NUMBER, 2)
-    fraction = F.regexp_extract(text, _NUMBER, 3)
-    power_text = F.regexp_extract(text, _NUMBER, 4)
-    power = F.when(power_text == "", F.lit(0)).otherwise(power_text.try_cast("int"))
-    digits = F.concat(whole, fraction)
-    head = F.regexp_replace(digits, "0+$", "")
-    exponent = power - F.length(fraction) + F.length(digits) - F.length(head)
-    significant = F.regexp_replace(head, "^0+", "")
     target = f"decimal({whole_digits + scale},{scale})"
-    fits = (exponent >= -scale) & (F.length(significant) + exponent <= whole_digits)
-    number = F.concat(sign, significant, F.lit("e"), exponent.cast("string")).try_cast(target)
-    parsed = F.when(significant == "", F.lit(0).cast(target)).when(fits, number)
-    return F.when(text.rlike(_NUMBER_SHAPE), parsed)
+
+    def held(n: Column) -> Column:
+        fits = (n["exponent"] >= -scale) & (F.length(n["significant"]) + n["exponent"] <= whole_digits)
+        sign = F.when(n["negative"], "-").otherwise("")
+        number = F.concat(sign, n["significant"], F.lit("e"), n["exponent"].cast("string")).try_cast(target)
+        return F.when(n["significant"] == "", F.lit(0).cast(target)).when(fits, number)
+
+    return _parsed(strip(value), held)
 
 
 def sales_quantity(value: Column | str) -> Column:
@@ -48,9 +73,8 @@ def order_quantity(value: Column | str) -> Column:
 
 
 def planning_number(value: Column | str) -> Column:
-    """Number with thousands marks; blank or no number -> NULL."""
-    text = F.regexp_replace(normalize_text(value), "[,_]", "")
-    return F.when(text.rlike(_NUMBER_SHAPE), text.try_cast(PLANNING_QTY))
+    """Number with thousands marks; blank, no number or not held exactly -> NULL."""
+    return exact_decimal(F.regexp_replace(normalize_text(value), "[,_]", ""), 24, 10)
 
 
 def number_invalid(value: Column | str) -> Column:
@@ -63,15 +87,26 @@ def blank_is_zero(value: Column | str) -> Column:
 
 
 def forecast_quantity(value: Column | str) -> Column:
-    number = col(value).cast("string").try_cast(PLANNING_QTY)
+    """Non-negative number held exactly, else NULL; a small negative is no zero."""
+    number = exact_decimal(col(value).cast("string"), 24, 10)
     return F.when(number >= 0, number)
 
 
 def decimal_text(value: Column | str) -> Column:
-    """Canonical text: no exponent, no trailing zeros; NULL when no number."""
-    text = F.regexp_replace(normalize_text(value), "[,_]", "")
-    number = F.when(text.rlike(_NUMBER_SHAPE), text.try_cast("decimal(38,18)"))
-    return plain_text(number)
+    """Canonical text of all digits: no exponent, no trailing zeros; NULL when no number."""
+
+    def shown(n: Column) -> Column:
+        digits, exponent = n["significant"], n["exponent"]
+        point = F.length(digits) + exponent
+        body = (
+            F.when(exponent >= 0, F.concat(digits, F.repeat(F.lit("0"), exponent)))
+            .when(point > 0, F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        )
+        signed = F.when(n["negative"], F.concat(F.lit("-"), body)).otherwise(body)
+        return F.when(digits == "", F.lit("0")).when(F.abs(exponent) <= _LONGEST, signed)
+
+    return _parsed(F.regexp_replace(normalize_text(value), "[,_]", ""), shown)
 
 
 def plain_text(number: Column | str) -> Column:

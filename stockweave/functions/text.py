@@ -131,7 +131,7 @@ def code_text(value: Column | str, kind: Column | str | None = None, number_form
         shape = strip(nfkc(number_format))
         width = F.when(shape.rlike("^0+$"), F.length(shape)).otherwise(0)
         negative = plain.startswith("-")
-        body = F.when(negative, F.substring(plain, 2, 1000)).otherwise(plain)
+        body = F.when(negative, F.substr(plain, F.lit(2))).otherwise(plain)
         room = width - F.when(negative, 1).otherwise(0)
         padded = F.when(F.length(body) < room, F.lpad(body, room, F.lit("0"))).otherwise(body)
         plain = F.when(negative, F.concat(F.lit("-"), padded)).otherwise(padded)

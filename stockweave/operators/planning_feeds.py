@@ -21,7 +21,7 @@ from stockweave.operators.resolution import resolve_customer_names, sku_products
 # The only document status that counts, and the planning scope.
 APPROVED = "已审核"
 PLANNING_AVAILABLE = "PLANNING_AVAILABLE"
-QTY = "decimal(28,10)"
+QTY = "decimal(34,10)"
 STORED_QTY = "decimal(18,3)"
 BALANCE = ("opening_qty", "receipt_qty", "issue_qty", "ending_qty")
 
@@ -252,9 +252,12 @@ def inventory_summary(checked: DataFrame, *version: str) -> DataFrame:
 
 def inherit_quantities(rows: DataFrame, block_rows: int = 100_000) -> DataFrame:
     """Order quantity, shipped total and difference filled down within
-    (order group, order number, SKU) of a sheet; a blank never becomes zero."""
+    (order group, order number, SKU) of a sheet of one delivery; a blank never
+    becomes zero. Deliveries are told apart by ``batch_id`` and ``source_file``
+    where the rows have them."""
+    delivery = [c for c in ("batch_id", "source_file") if c in rows.columns]
     inherited = [c for c in ("order_qty", "shipped_total", "difference_qty") if c in rows.columns]
-    return fill_forward(rows, ["source_sheet_name", "order_group", "order_no", "sku_code"], "row_number", inherited, block_rows)
+    return fill_forward(rows, [*delivery, "source_sheet_name", "order_group", "order_no", "sku_code"], "row_number", inherited, block_rows)
 
 
 def type_incoming(raw: DataFrame) -> DataFrame:

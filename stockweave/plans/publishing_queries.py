@@ -143,16 +143,13 @@ def month_replace_gate(spark, sf_dir):
     return shown.withColumns({c: F.array_join(c, ",") for c in ("blocking", "required_confirmations", "warnings")})
 
 
-@query(
-    "publish_verdict",
-    oracle(
-        """SELECT batch_id, CASE WHEN gate_status = 'BLOCKED' THEN 'BLOCKED' WHEN idempotent_current THEN 'NO_OP'
+_VERDICTS = """SELECT batch_id, CASE WHEN gate_status = 'BLOCKED' THEN 'BLOCKED' WHEN idempotent_current THEN 'NO_OP'
   WHEN gate_status = 'REQUIRES_CONFIRMATION' AND NOT given THEN 'CONFIRMATION_REQUIRED'
   WHEN given <> (gate_status = 'REQUIRES_CONFIRMATION') THEN 'CONFIRMATION_MISMATCH' ELSE 'PUBLISH' END AS verdict
-FROM (SELECT *, month(snapshot_month) IN (2, 6, 12) AS given FROM gate)""",
-        _TAGGED, _BATCHES, _GATE,
-    ),
-)
+FROM (SELECT *, month(snapshot_month) IN (2, 6, 12) AS given FROM gate)"""
+
+
+@query("publish_verdict", oracle(_VERDICTS, _TAGGED, _BATCHES, _GATE))
 def publish_verdict(spark, sf_dir):
     rows = stored_rows(spark, sf_dir)
     return verdicts(rows).select("batch_id", "verdict")
@@ -164,22 +161,21 @@ def verdicts(rows):
     return publishing.confirmation_verdict(view, given)
 
 
-_VERDICT = """published AS (
-  SELECT batch_id, snapshot_month, CASE WHEN month(snapshot_month) % 4 = 0 THEN true ELSE false END AS whole FROM bat
-  WHERE kind = 'N' AND month(snapshot_month) % 4 = 0)"""
+_PUBLISHED = f"""pub AS (SELECT batch_id, snapshot_month FROM gate JOIN ({_VERDICTS}) USING (batch_id) WHERE verdict = 'PUBLISH')"""
 
 
 def published(rows):
-    """Batches taken as published: the whole-month ones."""
-    return batches(rows).filter((F.col("status") == "PREVIEW_READY") & (F.month("snapshot_month") % 4 == 0))
+    """Batches that the gate and their confirmations clear."""
+    cleared = verdicts(rows).filter(F.col("verdict") == "PUBLISH").select("batch_id")
+    return batches(rows).join(cleared, "batch_id", "semi")
 
 
 @query(
     "fact_build",
     oracle(
         "SELECT batch_id AS import_batch_id, import_row_id, source_document_no, source_line_no, snapshot_month, actual_qty, sku_id, product_id, customer_id "
-        "FROM tag WHERE kind = 'N' AND status = 'READY' AND month(snapshot_month) % 4 = 0",
-        _TAGGED,
+        "FROM tag WHERE status = 'READY' AND batch_id IN (SELECT batch_id FROM pub)",
+        _TAGGED, _BATCHES, _GATE, _PUBLISHED,
     ),
 )
 def fact_build(spark, sf_dir):
@@ -192,14 +188,17 @@ def fact_build(spark, sf_dir):
     "month_replace",
     oracle(
         f"""SELECT snapshot_month, batch_id AS import_batch_id, count(*) AS fact_rows, CAST(sum(actual_qty) AS {QTY}) AS fact_qty FROM tag
-WHERE status = 'READY' AND CASE WHEN month(snapshot_month) % 4 = 0 THEN kind = 'N' ELSE kind = 'C' END GROUP BY 1, 2""",
-        _TAGGED,
+WHERE status = 'READY' AND (batch_id IN (SELECT batch_id FROM pub) OR kind = 'C' AND snapshot_month NOT IN (SELECT snapshot_month FROM pub)) GROUP BY 1, 2""",
+        _TAGGED, _BATCHES, _GATE, _PUBLISHED,
     ),
 )
 def month_replace(spark, sf_dir):
     rows = stored_rows(spark, sf_dir)
     chosen = published(rows)
     fresh = publishing.build_fact(rows, candidates(rows), chosen)
+    wrong = publishing.inserted_mismatch(fresh, chosen).select("batch_id")  # a batch with a wrong row count is not published
+    chosen = chosen.join(wrong, "batch_id", "anti")
+    fresh = fresh.join(wrong, F.col("import_batch_id") == F.col("batch_id"), "anti")
     after = publishing.replace_months(current_fact(rows), fresh, chosen)
     return after.groupBy("snapshot_month", "import_batch_id").agg(F.count(F.lit(1)).alias("fact_rows"), F.sum("actual_qty").cast("decimal(28,4)").alias("fact_qty"))
 
@@ -207,10 +206,10 @@ def month_replace(spark, sf_dir):
 @query(
     "batch_lineage",
     oracle(
-        """SELECT batch_id, CASE WHEN kind = 'N' AND month(snapshot_month) % 4 = 0 THEN 'PUBLISHED' ELSE status END AS status,
-  CASE WHEN kind = 'S' THEN 'C' || substr(batch_id, 2) WHEN kind = 'C' AND month(snapshot_month) % 4 = 0
-    AND EXISTS (SELECT 1 FROM bat n WHERE n.kind = 'N' AND n.snapshot_month = bat.snapshot_month) THEN 'N' || substr(batch_id, 2) END AS replaced_by_batch_id FROM bat""",
-        _TAGGED, _BATCHES,
+        """SELECT batch_id, CASE WHEN batch_id IN (SELECT batch_id FROM pub) THEN 'PUBLISHED' ELSE status END AS status,
+  CASE WHEN kind = 'S' THEN 'C' || substr(batch_id, 2) WHEN kind = 'C' AND snapshot_month IN (SELECT snapshot_month FROM pub)
+    THEN 'N' || substr(batch_id, 2) END AS replaced_by_batch_id FROM bat""",
+        _TAGGED, _BATCHES, _GATE, _PUBLISHED,
     ),
 )
 def batch_lineage(spark, sf_dir):
@@ -223,14 +222,14 @@ def batch_lineage(spark, sf_dir):
     "publish_confirmations",
     oracle(
         "SELECT batch_id, required_confirmations AS confirmation_code, current_batch_id AS existing_published_batch_id, drop_ratio "
-        "FROM gate WHERE gate_status = 'REQUIRES_CONFIRMATION'",
-        _TAGGED, _BATCHES, _GATE,
+        "FROM gate WHERE gate_status = 'REQUIRES_CONFIRMATION' AND batch_id IN (SELECT batch_id FROM pub)",
+        _TAGGED, _BATCHES, _GATE, _PUBLISHED,
     ),
 )
 def publish_confirmations(spark, sf_dir):
     rows = stored_rows(spark, sf_dir)
     view = gate(rows)
-    accepted = view.filter(F.col("gate_status") == publishing.REQUIRES_CONFIRMATION)
+    accepted = view.filter(F.col("gate_status") == publishing.REQUIRES_CONFIRMATION).join(published(rows).select("batch_id"), "batch_id", "semi")
     recorded = publishing.confirmation_rows(view, accepted, "planner", F.current_timestamp())
     return recorded.select("batch_id", "confirmation_code", "existing_published_batch_id", "drop_ratio")
 

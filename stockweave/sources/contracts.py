@@ -229,19 +229,23 @@ def scan_parquet(spark: SparkSession, path: str, header_rows: int = 1) -> DataFr
 def scan_delimited(spark: SparkSession, path: str, headers: Sequence[str], separator: str = ",", header_row: int = 1) -> DataFrame:
     """Delimited export read as strings with its file name.
 
-    Lines above ``header_row`` and the header itself are dropped by content: a
-    data line never equals the header, and the lines above hold fewer values.
-    A split text file has no row index, so a ``row_number`` column must be part
-    of the export when row numbers matter.
+    The first ``header_row`` lines of every file go by their place, whatever
+    they hold: a file's first split starts at byte 0, and lines of a split are
+    numbered in order. No data cell is looked at, so a blank cell or a line that
+    repeats the header stays a row; only wholly blank lines are left out.
     """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    first = lines.filter(F.col("_block") == 0).groupBy("_path").agg(F.min("_line").alias("_first"))
+    above = (F.col("_block") == 0) & (F.col("_line") - F.col("_first") < header_row)
+    body = lines.join(first, "_path", "left").filter(~F.coalesce(above, F.lit(False)) & (F.trim("value") != ""))
     schema = ", ".join(f"`{h}` string" for h in headers)
-    raw = spark.read.schema(schema).option("sep", separator).option("header", header_row == 1).csv(path)
-    if header_row > 1:
-        is_header = F.lit(True)
-        for header in headers:
-            is_header = is_header & F.coalesce(text.strip(F.col(f"`{header}`")) == header, F.lit(False))
-        raw = raw.filter(~is_header & F.col(f"`{headers[-1]}`").isNotNull())
-    return raw.withColumn("source_file", F.col("_metadata.file_name"))
+    return body.select(F.from_csv("value", F.lit(schema), {"sep": separator}).alias("_cells"), "source_file").select("_cells.*", "source_file")
 
 
 def rows_after_header(raw: DataFrame, header_row: int) -> DataFrame:
@@ -337,32 +341,20 @@ def product_sheets(headers: DataFrame) -> DataFrame:
 # --- merged cells ----------------------------------------------------------
 
 
-def fill_merged(cells: DataFrame, ranges: DataFrame, max_area: int = 10_000) -> DataFrame:
+def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every cell of a merged range takes the range's value.
 
     ``cells``: sheet, row, column, value. ``ranges``: sheet, r0, r1, c0, c1,
-    value. A small range is spelled out cell by cell and joined by equality; a
-    range above ``max_area`` cells is joined by interval, in column bands.
+    value. A range is one row for each of its columns, joined by column and row
+    interval, so its height costs nothing.
     """
-    area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
-    listed = (
-        ranges.filter(area <= max_area)
-        .withColumn("row", F.explode(F.sequence("r0", "r1")))
-        .withColumn("column", F.explode(F.sequence("c0", "c1")))
-        .select("sheet", "row", "column", F.struct(F.col("value").alias("v")).alias("_small"))
-    )
-    wide = (
-        ranges.filter(area > max_area)
-        .withColumn("column", F.explode(F.sequence("c0", "c1")))
-        .select(F.col("sheet").alias("_s"), F.col("column").alias("_c"), "r0", "r1", F.struct(F.col("value").alias("v")).alias("_large"))
-    )
-    joined = cells.join(listed, ["sheet", "row", "column"], "left").join(
-        wide,
-        (F.col("sheet") == F.col("_s")) & (F.col("column") == F.col("_c")) & F.col("row").between(F.col("r0"), F.col("r1")),
-        "left",
+    columns = ranges.withColumn("_c", F.explode(F.sequence("c0", "c1"))).select(
+        F.col("sheet").alias("_s"), "_c", "r0", "r1", F.struct(F.col("value").alias("v")).alias("_merged")
     )
-    merged = F.coalesce("_small", "_large")
-    return joined.select("sheet", "row", "column", F.when(merged.isNotNull(), merged["v"]).otherwise(F.col("value")).alias("value"))
+    inside = (F.col("sheet") == F.col("_s")) & (F.col("column") == F.col("_c")) & F.col("row").between(F.col("r0"), F.col("r1"))
+    joined = cells.join(columns, inside, "left")
+    value = F.when(F.col("_merged").isNotNull(), F.col("_merged.v")).otherwise(F.col("value"))
+    return joined.select("sheet", "row", "column", value.alias("value"))
 
 
 # --- row normaliser --------------------------------------------------------

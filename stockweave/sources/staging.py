@@ -8,31 +8,26 @@ costs only its own tasks.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+def shared_folder(spark: SparkSession) -> str:
+    """Folder of this application below ``spark.checkpoint.dir``, or below the
+    warehouse, which all executors share too, where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local session without one
-    gets a temporary folder."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="staging-")
-    return _LOCAL_FOLDERS[context.applicationId]
+def release(spark: SparkSession) -> None:
+    """Removes what this application has staged, once no result reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     frame.write.mode("errorifexists").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

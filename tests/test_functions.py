@@ -83,3 +83,14 @@ def test_codes(spark):
     rows = [("12.0", "number", "00000"), ("12.50", "number", "General"), ("007", "text", "0"), ("1", "boolean", None)]
     frame = spark.createDataFrame(rows, "v string, k string, f string")
     assert [r.c for r in frame.select(text.code_text("v", "k", "f").alias("c")).collect()] == ["00012", "12.5", "007", None]
+
+
+def test_numbers_are_never_rounded(spark):
+    texts = ["-0.00000000004", "1e18", "1,000", "0.12345678901", "-0", "x", "1.50", "12e-3", "+7."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r for r in rows.select("t", numbers.forecast_quantity("t").alias("f"), numbers.planning_number("t").alias("p"), numbers.decimal_text("t").alias("d")).collect()}
+    assert got["-0.00000000004"].f is None and got["-0.00000000004"].p is None and got["-0.00000000004"].d == "-0.00000000004"
+    assert got["1e18"].f == got["1e18"].p == 10**18 and got["1e18"].d == "1" + "0" * 18
+    assert got["1,000"].p == 1000 and got["0.12345678901"].p is None and got["0.12345678901"].d == "0.12345678901"
+    assert got["-0"].d == "0" and got["-0"].f == 0 and got["x"].d is None
+    assert [got[t].d for t in ("1.50", "12e-3", "+7.")] == ["1.5", "0.012", "7"]

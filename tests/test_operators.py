@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.operators import cycle, dashboard, findings, groups, lots, master_import, publishing, review
+from stockweave.operators import cycle, dashboard, findings, groups, lots, master_import, planning_feeds, publishing, review
 from stockweave.sources import contracts
 from stockweave.sources.registry import checksum_valid, file_checksums
 from stockweave.sources.store import CommitRejected, VersionedStore
@@ -158,9 +158,20 @@ def test_orders_and_history(spark):
 def test_merged_cells(spark):
     cells = spark.createDataFrame([("s", r, c, "x" if (r, c) == (1, 1) else None) for r in range(1, 5) for c in range(1, 4)], "sheet string, row int, column int, value string")
     ranges = spark.createDataFrame([("s", 1, 3, 1, 2, "x")], "sheet string, r0 int, r1 int, c0 int, c1 int, value string")
-    for area in (100, 1):
-        got = contracts.fill_merged(cells, ranges, max_area=area).filter("value is not null").count()
-        assert got == 6
+    assert contracts.fill_merged(cells, ranges).filter("value is not null").count() == 6
+
+
+def test_delimited_rows_go_by_place(spark, tmp_path):
+    head = "report\nby\nsomeone\ncode,name,ending\n"
+    (tmp_path / "a.csv").write_text(head + "1,a,5\n2,b,\ncode,name,ending\n\n3,,\n")
+    (tmp_path / "b.csv").write_text(head + "4,d,1\n")
+    rows = contracts.scan_delimited(spark, str(tmp_path), ["code", "name", "ending"], header_row=4).collect()
+    assert sorted((r.source_file, r.code, r.ending) for r in rows) == [("a.csv", "1", "5"), ("a.csv", "2", None), ("a.csv", "3", None), ("a.csv", "code", "ending"), ("b.csv", "4", "1")]
+
+
+def test_inherited_quantities_stay_in_their_delivery(spark):
+    rows = spark.createDataFrame([("f1", "Sheet1", "g", "o", "s", 1, 5), ("f2", "Sheet1", "g", "o", "s", 2, None)], "source_file string, source_sheet_name string, order_group string, order_no string, sku_code string, row_number bigint, order_qty int")
+    assert {r.source_file: r.order_qty for r in planning_feeds.inherit_quantities(rows).collect()} == {"f1": 5, "f2": None}
 
 
 def test_header_contract(spark):
