@@ -129,14 +129,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     several = several.join(written(counted, "block-counts"), ["anchor", "block"]).select(*_KEY, "lo", "hi", (F.col("n") == 1).alias("alone"), (mark == F.col("speaker")).alias("speaks"))
     several = written(several, "several-blocks")
     factors = shared.filter("same").select(*_KEY, "lo", "hi").unionByName(several.filter("not alone").select(*_KEY, "lo", "hi"))
-    factors = factors.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("factors"))
+    factors = factors.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("_sub_factors"))
     asked = several.filter("alone or speaks").groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("asked"))
     windows = _with(texts, asked, "inner").select(*_KEY, "text", "asked").mapInArrow(_windows(window), _WINDOW)
     windows = written(windows, "windows")
     twice = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "repeated-windows")
-    single = windows.filter("start >= 0").join(twice, ["w1", "w2"]).groupBy(*_KEY).agg(F.collect_list("start").alias("singles"))
+    single = windows.filter("start >= 0").join(twice, ["w1", "w2"]).groupBy(*_KEY).agg(F.collect_list("start").alias("_sub_singles"))
     out = _with(_with(keyed, factors, "left"), single, "left")
-    out = out.withColumn("_sub", F.pandas_udf(_kept(window), "kept string, n_words bigint, n_removed bigint")("text", "factors", "singles"))
+    out = out.withColumn("_sub", F.pandas_udf(_kept(window), "kept string, n_words bigint, n_removed bigint")("text", "_sub_factors", "_sub_singles"))
     return out.select(*own_columns(docs.columns), F.col("_sub.kept").alias("_sub_kept"), F.col("_sub.n_words").alias("_sub_words"), F.col("_sub.n_removed").alias("_sub_removed"))
 
 
