@@ -183,7 +183,8 @@ def _verified(docs: DataFrame, ours: DataFrame, pairs: DataFrame, n: int, percen
     side = lambda frame, key, value, name: frame.select(F.col("doc_id").alias(key), F.col(value).alias(name))
     bounded = pairs.join(side(ranges, "a", "ranges", "x"), "a").join(side(ranges, "b", "ranges", "y"), "b")
     bounded = written(bounded.mapInArrow(_close("<u2", percent), "a bigint, b bigint"), "bounded-pairs")
-    named = bounded.select(F.col("a").alias("doc_id")).union(bounded.select("b")).distinct()
+    # written first, its true size decides how texts meet it: an overestimate would shuffle all texts for a short list
+    named = written(bounded.select(F.col("a").alias("doc_id")).union(bounded.select("b")).distinct(), "named")
     wholes = written(docs.join(named, "doc_id", "semi").mapInArrow(_whole_sets(n), "doc_id bigint, own binary"), "whole-sets")
     both = bounded.join(side(wholes, "a", "own", "x"), "a").join(side(wholes, "b", "own", "y"), "b")
     return both.mapInArrow(_close("<u8", percent), "a bigint, b bigint").distinct()
