@@ -151,11 +151,11 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     posted = ours.select("doc_id", "n", F.posexplode("prefix").alias("p", "gram"))
     # rare n-grams come first, so the document with the n-gram earliest is the least altered of a group: most others link with it
-    hubs = posted.groupBy("gram").agg(F.min_by("doc_id", "p").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("gram", "hub")
+    first = F.min(F.struct("p", "doc_id", "n")).alias("hub")
+    hubs = posted.groupBy("gram").agg(first, F.count("*").alias("size")).filter("size > 1").select("gram", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.p").alias("hub_p"))
     # the hubs grow with the corpus and are never sent whole to the tasks; the join can be split on a hot n-gram
     posted = written(posted.join(written(hubs, "hubs").hint("merge"), "gram"), "postings")  # n-grams in two documents or more
-    hubs = posted.filter("doc_id = hub").select("gram", F.col("n").alias("hub_n"), F.col("p").alias("hub_p"))
-    near = posted.filter("doc_id <> hub").join(hubs, "gram").filter(_can_link(percent, F.col("n"), F.col("p"), F.col("hub_n"), F.col("hub_p")))
+    near = posted.filter("doc_id <> hub").filter(_can_link(percent, F.col("n"), F.col("p"), F.col("hub_n"), F.col("hub_p")))
     tried = written(near.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "hub-pairs")
     links = written(_verified(docs, ours, tried, n, percent), "hub-links")
 
