@@ -99,34 +99,36 @@ def _prefixes(n: int, percent: int, rank: np.ndarray):
     return run
 
 
-def _whole_sets(n: int):
+def _bounded(percent: int):
+    """The rows (a, b) whose range counts x, y leave room for a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [own.tobytes() for own in _sets(text_column(batch), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "own"])
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u2"), np.frombuffer(y.as_buffer(), "<u2")
+                size, common = int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64)), int(np.minimum(x, y).sum(dtype=np.int64))
+                clipped = x.max(initial=0) == 65535 or y.max(initial=0) == 65535  # clipped counts bound nothing
+                if clipped or (100 + percent) * common >= percent * size:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def _close(kind: str, percent: int):
-    """For (a, b) rows with their range counts or whole sets: those that can link, or do."""
+def _linked(n: int, percent: int):
+    """The rows (a, b) whose whole texts x, y link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                if kind == "<u2":
-                    nx, ny, common = int(x.sum(dtype=np.int64)), int(y.sum(dtype=np.int64)), int(np.minimum(x, y).sum(dtype=np.int64))
-                    full = x.max(initial=0) == 65535 or y.max(initial=0) == 65535  # clipped counts bound nothing
-                else:
-                    nx, ny, full = len(x), len(y), False
-                    both = np.concatenate((x, y))
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                if full or (100 + percent) * common >= percent * (nx + ny):
+            for i, (x, y) in enumerate(zip(_sets(text_column(batch, "x"), n), _sets(text_column(batch, "y"), n), strict=True)):
+                both = np.concatenate((x, y))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if common and (100 + percent) * common >= percent * len(both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -178,16 +180,17 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _verified(docs: DataFrame, ours: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: range counts first, then whole sets of the documents that are left."""
+    """The pairs (a, b) that link: range counts first, then the sets of the whole texts of the documents that are left."""
     ranges = ours.select("doc_id", "ranges")
     side = lambda frame, key, value, name: frame.select(F.col("doc_id").alias(key), F.col(value).alias(name))
     bounded = pairs.join(side(ranges, "a", "ranges", "x"), "a").join(side(ranges, "b", "ranges", "y"), "b")
-    bounded = written(bounded.mapInArrow(_close("<u2", percent), "a bigint, b bigint"), "bounded-pairs")
+    bounded = written(bounded.mapInArrow(_bounded(percent), "a bigint, b bigint"), "bounded-pairs")
     # written first, its true size decides how texts meet it: an overestimate would shuffle all texts for a short list
     named = written(bounded.select(F.col("a").alias("doc_id")).union(bounded.select("b")).distinct(), "named")
-    wholes = written(docs.join(named, "doc_id", "semi").mapInArrow(_whole_sets(n), "doc_id bigint, own binary"), "whole-sets")
-    both = bounded.join(side(wholes, "a", "own", "x"), "a").join(side(wholes, "b", "own", "y"), "b")
-    return both.mapInArrow(_close("<u8", percent), "a bigint, b bigint").distinct()
+    # texts travel, not their sets: hashes do not compress
+    texts = written(docs.join(named, "doc_id", "semi"), "texts")
+    both = bounded.join(side(texts, "a", "text", "x"), "a").join(side(texts, "b", "text", "y"), "b")
+    return both.mapInArrow(_linked(n, percent), "a bigint, b bigint").distinct()
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
