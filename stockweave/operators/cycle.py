@@ -318,6 +318,7 @@ def check_forecast_lines(lines: DataFrame, cycles: DataFrame, channels: DataFram
             "channel_stable_id": blank_to_null("channel_stable_id"),
             "product_stable_id": blank_to_null("product_stable_id"),
             "_qty": forecast_quantity("forecast_qty"),
+            "_exact": order_quantity("forecast_qty"),
         }
     )
     repeated = cleaned.groupBy(*grain).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
@@ -335,12 +336,12 @@ def check_forecast_lines(lines: DataFrame, cycles: DataFrame, channels: DataFram
         .when(~F.coalesce(F.dayofmonth(month) == 1, F.lit(False)), "MONTH_NOT_FIRST_DAY")
         .when(~month.between(F.col("cycle_month"), month_offset("cycle_month", HORIZON - 1)), "MONTH_OUTSIDE_HORIZON")
         .when(F.col("_qty").isNull(), "QUANTITY_INVALID")
-        .when(order_quantity("forecast_qty").isNull(), "QUANTITY_NOT_EXACT")
+        .when(F.col("_exact").isNull(), "QUANTITY_NOT_EXACT")
         .when(F.col("channel_id").isNull() | F.col("product_id").isNull(), "IDENTITY_UNRESOLVED")
         .when(F.col("_copies").isNotNull(), "DUPLICATE_GRAIN")
     )
     return joined.withColumn("code", code).select(
-        "cycle_id", "channel_stable_id", "product_stable_id", "channel_id", "product_id", "forecast_month", F.col("_qty").cast(STORED_QTY).alias("forecast_qty"), "code"
+        "cycle_id", "channel_stable_id", "product_stable_id", "channel_id", "product_id", "forecast_month", F.col("_exact").alias("forecast_qty"), "code"
     )
 
 

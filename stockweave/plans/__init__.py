@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar_queries", "sales_queries", "publishing_queries", "planning_queries", "master_queries")
+MODULES = ("scalar_queries", "sales_queries", "publishing_queries", "planning_queries", "cycle_queries", "master_queries")
 
 
 def load():
