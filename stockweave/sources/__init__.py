@@ -1 +1 @@
-"""File contracts, delivery registry and versioned Parquet store."""
+"""File contracts, delivery registry and staging."""

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from stockweave.operators import cycle, dashboard, findings, groups, lots, master_import, planning_feeds, publishing, review
 from stockweave.sources import contracts
 from stockweave.sources.registry import checksum_valid, file_checksums
-from stockweave.sources.store import CommitRejected, VersionedStore
 
 MONTHS = [dt.date(2000, m, 1) for m in range(1, 13)]
 
@@ -201,22 +200,6 @@ def test_row_sets(spark):
     assert got == {"x": True, "y": False}
 
 
-def test_store_commits_all_or_nothing(spark, tmp_path):
-    store = VersionedStore(spark, str(tmp_path / "store"))
-    first = spark.range(3)
-    store.commit_tables({"raw": first, "fact": spark.range(2)}, "2000-01")
-    assert store.read("raw").count() == 3 and store.read("fact").count() == 2
-    with pytest.raises(CommitRejected):
-        store.commit_tables({"raw": first}, "2000-01")
-    with pytest.raises(CommitRejected):
-        store.commit_tables({"raw": first}, "2000-02", expected={"raw": 4})
-    assert store.read("raw").count() == 3
-    part = store.write_part("fact", "2000-01", spark.range(20))
-    assert store.read("fact").count() == 2
-    store.commit([part])
-    assert store.read("fact").count() == 20
-
-
 def test_checksums(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x")
     got = file_checksums(spark, str(tmp_path), "*.csv").select("file_hash", checksum_valid("file_hash").alias("ok")).first()
