@@ -8,6 +8,8 @@ Classes. Documents with equal sets are one class from the start (128-bit digest
 
 Pairs. A document posts the prefix of its ordered set. First every posting meets only one document of its n-gram, the one that has it earliest: as many pairs as postings. Links found so far join documents; then only n-grams whose documents are still in several components make pairs, and only pairs across components, since others change nothing. So a group of near copies costs rows in proportion to its size, and no link between components is lost. Postings meet by a plain join on the n-gram, which the skew join may split. The suffix filter compares counts of the two sets per hash range: the sum of the smaller counts bounds the common part. Pairs that pass are verified on their whole sets.
 
+That makes a spanning set of links, enough for components. `every_link` makes all of them between representatives: documents meet at each common prefix n-gram except where they surely met at an earlier one (one of the `BEFORE` n-grams ahead of it is common as well), so a pair meets at its first common n-gram and seldom again. An n-gram in many documents is dealt out in blocks of `BLOCK` documents. Its output has one row per link, so it grows with the square of a group of near copies by its nature; `link_counts` gives the number of links of each document.
+
 Rows with a null doc_id take no part and get a null component; rows that share a doc_id are one document with the links of each; null text is empty; other columns are not read. Sets are compared by 64-bit hashes of their n-grams.
 """
 
@@ -26,6 +28,7 @@ from .words import Words, signed, slices, text_column
 
 CELLS = 1 << 18
 RANGES = 32
+BEFORE, BLOCK = 8, 1000
 _SET = "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, ranges binary"
 
 
@@ -139,9 +142,8 @@ def _can_link(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> C
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= needed)
 
 
-def join_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, one row for each row."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _representatives(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text) -> the set of each row, the classes of equal sets, and the sets of their smallest doc_ids that can link with others."""
     cells = docs.select("text").mapInArrow(_cells(n), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     rank = np.zeros(CELLS, np.int64)
     rank[cells["cell"].to_numpy()] = cells["n"].to_numpy()
@@ -150,6 +152,13 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     classes = written(classes, "classes")
     ours = sets.filter("size(prefix) > 0").join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", "n", "d1", "d2"], "semi")
     ours = written(ours.select("doc_id", "n", "prefix", "ranges"), "representatives")
+    return sets, classes, ours
+
+
+def join_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, one row for each row."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sets, classes, ours = _representatives(docs, n, percent)
 
     posted = ours.select("doc_id", "n", F.posexplode("prefix").alias("p", "gram"))
     # rare n-grams come first, so the document with the n-gram earliest is the least altered of a group: most others link with it
@@ -193,6 +202,39 @@ def _verified(docs: DataFrame, ours: DataFrame, pairs: DataFrame, n: int, percen
     return both.mapInArrow(_linked(n, percent), "a bigint, b bigint").distinct()
 
 
+def every_link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) -> a, b with a < b: every link between representatives of classes (the class_ids of join_documents), each once."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    return _every_link(docs, _representatives(docs, n, percent)[2], n, percent)
+
+
+def _every_link(docs: DataFrame, ours: DataFrame, n: int, percent: int) -> DataFrame:
+    posted = ours.select("doc_id", "n", "prefix", F.posexplode("prefix").alias("p", "gram"))
+    begin = F.greatest(F.col("p") - BEFORE, F.lit(0))
+    posted = posted.select("doc_id", "n", "p", "gram", F.slice("prefix", begin + 1, F.col("p") - begin).alias("before"))
+    blocks = F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")
+    met = posted.groupBy("gram").agg(blocks, F.count("*").alias("size")).filter("size > 1").select("gram", "blocks")
+    posted = written(posted.join(written(met, "link-grams").hint("merge"), "gram"), "link-postings")
+    side = lambda frame, name: frame.select("gram", "block", *[F.col(c).alias(f"{name}_{c}") for c in ("doc_id", "n", "p", "before")])
+    # x is in one block of its n-gram, y in all of them
+    x = side(posted.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "x")
+    y = side(posted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "y")
+    first = ~F.arrays_overlap("x_before", "y_before")
+    near = x.join(y, ["gram", "block"]).filter((F.col("x_doc_id") < F.col("y_doc_id")) & first & _can_link(percent, *[F.col(c) for c in ("x_n", "x_p", "y_n", "y_p")]))
+    pairs = written(near.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct(), "pairs")
+    return _verified(docs, ours, pairs, n, percent)
+
+
+def link_counts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) -> doc_id, class_id, n_links: to how many other classes the class of a document links. One row for each document and class; documents without words or without id have none."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sets, classes, ours = _representatives(docs, n, percent)
+    links = written(_every_link(docs, ours, n, percent), "every-link")
+    counts = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    members = sets.filter("doc_id is not null").select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "class_id").distinct()
+    return members.join(counts, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; documents without words or without id all stay. Of rows that share the kept doc_id all stay if their texts differ, one if they are equal."""
     found = join_documents(docs, n, percent).filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()

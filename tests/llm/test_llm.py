@@ -127,6 +127,23 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.without_near_copies(empty).count() == 0
 
 
+def test_every_link(spark, empty, monkeypatch):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join("".join(rng.choice("xyz") for _ in range(9)) if rng.random() < 0.02 else w for w in base) for _ in range(25)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(100 + i, texts[i].upper(), "en", "a") for i in range(5)] + [(200, "alone", "en", "a"), (201, "", "en", "a"), (None, texts[0], "en", "a")]
+    frame = table(spark, rows)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    for n, percent in ((3, 60), (5, 60), (3, 80)):
+        sets = {i: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} for i, w in enumerate(map(str.split, texts))}
+        want = Counter((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
+        assert Counter((r.a, r.b) for r in ngram_join.every_link(frame, n, percent).collect()) == want and len(want) > 25
+        per = Counter(x for pair in want for x in pair)
+        counts = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.link_counts(frame, n, percent).collect()}
+        assert counts == {i: (i, per[i]) for i in range(25)} | {100 + i: (i, per[i]) for i in range(5)} | {200: (200, 0)}
+    assert ngram_join.every_link(empty).count() == 0
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(5)
     items = [(i, " ".join(f"item{rng.randrange(500)}" for _ in range(rng.randint(8, 60)))) for i in range(30)] + [(98, None), (99, "few words"), (97, "")]
