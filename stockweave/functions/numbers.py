@@ -10,6 +10,7 @@ from stockweave.functions.text import col, normalize_text, strip
 _NUMBER_SHAPE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 PLANNING_QTY = "decimal(34,10)"
+FEED_QTY, STORED_QTY = "decimal(36,18)", "decimal(18,3)"
 #: Numbers whose plain text would be longer than this many zeros have none.
 _LONGEST = 10_000
 
@@ -78,8 +79,24 @@ def planning_number(value: Column | str) -> Column:
 
 
 def number_invalid(value: Column | str) -> Column:
-    """A non-blank text that is no number."""
-    return normalize_text(value).isNotNull() & planning_number(value).isNull()
+    """A non-blank text without the shape of a number; how many digits it has does not matter."""
+    return ~strip(F.regexp_replace(normalize_text(value), "[,_]", "")).rlike(_NUMBER_SHAPE) & normalize_text(value).isNotNull()
+
+
+def feed_quantity(value: Column | str) -> Column:
+    """Quantity of a feed cell with thousands marks, to 18 decimals; blank, no number or 10^18 and more -> NULL. `decimal_text` keeps all digits."""
+
+    def held(n: Column) -> Column:
+        point = F.length(n["significant"]) + n["exponent"]
+        number = F.concat(F.when(n["negative"], "-").otherwise(""), n["significant"], F.lit("e"), n["exponent"].cast("string")).try_cast(FEED_QTY)
+        return F.when((n["significant"] == "") | (point < -18), F.lit(0).cast(FEED_QTY)).when(point <= 18, number)
+
+    return _parsed(strip(F.regexp_replace(normalize_text(value), "[,_]", "")), held)
+
+
+def not_storable(value: Column | str) -> Column:
+    """A number that DECIMAL(18,3) cannot hold: 10^15 or more after rounding to its places."""
+    return ~number_invalid(value) & normalize_text(value).isNotNull() & feed_quantity(value).try_cast(STORED_QTY).isNull()
 
 
 def blank_is_zero(value: Column | str) -> Column:
@@ -92,6 +109,12 @@ def forecast_quantity(value: Column | str) -> Column:
     return F.when(number >= 0, number)
 
 
+def forecast_valid(value: Column | str) -> Column:
+    """Whether a value is a number and not negative, however many digits it has."""
+    number = _parsed(strip(col(value).cast("string")), lambda n: ~n["negative"] | (n["significant"] == ""))
+    return F.coalesce(number, F.lit(False))
+
+
 def decimal_text(value: Column | str) -> Column:
     """Canonical text of all digits: no exponent, no trailing zeros; NULL when no number."""
 

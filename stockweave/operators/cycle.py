@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.functions.dates import month_offset, month_start
-from stockweave.functions.numbers import forecast_quantity, order_quantity
+from stockweave.functions.numbers import forecast_valid, order_quantity
 from stockweave.functions.text import blank_to_null
 from stockweave.operators.groups import next_in_group
 from stockweave.operators.planning_feeds import STORED_QTY
@@ -317,7 +317,7 @@ def check_forecast_lines(lines: DataFrame, cycles: DataFrame, channels: DataFram
         {
             "channel_stable_id": blank_to_null("channel_stable_id"),
             "product_stable_id": blank_to_null("product_stable_id"),
-            "_qty": forecast_quantity("forecast_qty"),
+            "_valid": forecast_valid("forecast_qty"),
             "_exact": order_quantity("forecast_qty"),
         }
     )
@@ -335,7 +335,7 @@ def check_forecast_lines(lines: DataFrame, cycles: DataFrame, channels: DataFram
         .when(F.col("channel_stable_id").isNull() | F.col("product_stable_id").isNull(), "IDENTITY_REQUIRED")
         .when(~F.coalesce(F.dayofmonth(month) == 1, F.lit(False)), "MONTH_NOT_FIRST_DAY")
         .when(~month.between(F.col("cycle_month"), month_offset("cycle_month", HORIZON - 1)), "MONTH_OUTSIDE_HORIZON")
-        .when(F.col("_qty").isNull(), "QUANTITY_INVALID")
+        .when(~F.col("_valid"), "QUANTITY_INVALID")
         .when(F.col("_exact").isNull(), "QUANTITY_NOT_EXACT")
         .when(F.col("channel_id").isNull() | F.col("product_id").isNull(), "IDENTITY_UNRESOLVED")
         .when(F.col("_copies").isNotNull(), "DUPLICATE_GRAIN")

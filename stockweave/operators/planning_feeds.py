@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.functions.dates import is_complete_month, month_start, planning_date, planning_date_invalid
-from stockweave.functions.numbers import blank_is_zero, number_invalid, planning_number
+from stockweave.functions.numbers import decimal_text, feed_quantity, not_storable, number_invalid
 from stockweave.functions.text import code_text, normalize_text
 from stockweave.operators.findings import finding, with_findings
 from stockweave.operators.groups import fill_forward
@@ -44,7 +44,8 @@ def type_actuals(raw: DataFrame) -> DataFrame:
     ).withColumns(
         {
             "sales_date": planning_date("business_date"),
-            "shipped_qty": planning_number("quantity"),
+            "shipped_qty": feed_quantity("quantity"),
+            "shipped_qty_text": decimal_text("quantity"),
             "production_date": planning_date("production_day"),
         }
     )
@@ -56,11 +57,13 @@ _ACTUAL_TEXT = ("customer_name", "document_status", "sku_code", "sku_name", "war
 
 def actual_rules(text_cells: bool = False) -> list:
     """Field rules of a shipment row."""
+    no_number = normalize_text("quantity").isNull() | number_invalid("quantity") if text_cells else F.col("shipped_qty").isNull()
     rules = [
         finding(F.col("sales_date").isNull(), "ACTUAL_SALES_DATE_INVALID", field="sales_date"),
-        finding(F.col("shipped_qty").isNull(), "ACTUAL_SALES_VALUE_INVALID", field="shipped_qty"),
+        finding(no_number, "ACTUAL_SALES_VALUE_INVALID", field="shipped_qty"),
     ]
     if text_cells:
+        rules.append(finding(not_storable("quantity"), "ACTUAL_SALES_VALUE_NOT_STORABLE", field="shipped_qty"))
         rules.append(
             finding(planning_date_invalid("production_day", required=False), "ACTUAL_SALES_PRODUCTION_DATE_INVALID", field="production_date")
         )
@@ -136,11 +139,13 @@ def type_inventory(raw: DataFrame) -> DataFrame:
         {
             **{c: normalize_text(c) for c in texts},
             **{c: planning_date(source) for c, source in days.items()},
-            **{c: blank_is_zero(source) for c, source in quantities.items()},
+            **{c: F.when(normalize_text(source).isNull(), F.lit(0)).otherwise(feed_quantity(source)) for c, source in quantities.items()},
+            **{f"{c}_text": decimal_text(source) for c, source in quantities.items()},
         }
     )
     rules = [finding(planning_date_invalid(source, required=True), "INVENTORY_VALUE_INVALID", field=c) for c, source in days.items()]
     rules += [finding(number_invalid(source), "INVENTORY_VALUE_INVALID", field=c) for c, source in quantities.items()]
+    rules += [finding(not_storable(source), "INVENTORY_VALUE_NOT_STORABLE", field=c) for c, source in quantities.items()]
     rules += [finding(F.col(c).isNull(), "INVENTORY_REQUIRED_FIELD_MISSING", field=c) for c in texts]
     return with_findings(typed, rules)
 
@@ -265,11 +270,13 @@ def type_incoming(raw: DataFrame) -> DataFrame:
     quantities = ("shipment_qty", "order_qty", "shipped_total", "difference_qty")
     texts = ("sku_code", "sku_name", "order_group", "order_no", "batch_no")
     rules = [finding(number_invalid(c), "INCOMING_QUANTITY_INVALID", field=c) for c in quantities]
+    rules += [finding(not_storable(c), "INCOMING_QUANTITY_NOT_STORABLE", field=c) for c in quantities]
     rules.append(finding(planning_date_invalid("eta", required=False), "INCOMING_ETA_INVALID", field="eta"))
     checked = with_findings(raw, rules)
     return checked.withColumns(
         {
-            **{c: planning_number(c) for c in quantities},
+            **{f"{c}_text": decimal_text(c) for c in quantities},
+            **{c: feed_quantity(c) for c in quantities},
             **{c: normalize_text(c) for c in texts},
             "eta": planning_date("eta"),
             "warehouse_entry_recorded": normalize_text("warehouse_entry").isNotNull(),

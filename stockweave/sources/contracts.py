@@ -375,7 +375,8 @@ def normalize_field(name: str, kind: str, cell_kinds: bool = False) -> tuple[Col
     if kind == "boolean":
         return text.boolean_word(source).cast("string"), F.when(text.boolean_invalid(source), "not a boolean word")
     if kind == "decimal":
-        return numbers.decimal_text(source), F.when(numbers.number_invalid(source), "not a number")
+        value = numbers.decimal_text(source)
+        return value, F.when(numbers.number_invalid(source), "not a number").when(text.normalize_text(source).isNotNull() & value.isNull(), "number too long")
     if kind == "date":
         value = dates.master_date(source)
         return value, F.when(text.normalize_text(source).isNotNull() & value.isNull(), "ambiguous date")

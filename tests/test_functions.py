@@ -94,3 +94,19 @@ def test_numbers_are_never_rounded(spark):
     assert got["1,000"].p == 1000 and got["0.12345678901"].p is None and got["0.12345678901"].d == "0.12345678901"
     assert got["-0"].d == "0" and got["-0"].f == 0 and got["x"].d is None
     assert [got[t].d for t in ("1.50", "12e-3", "+7.")] == ["1.5", "0.012", "7"]
+
+
+def test_numbers_are_valid_by_shape(spark):
+    from stockweave.operators import planning_feeds
+
+    texts = ["12.300000000000001", "0.12345678901", "5.551115123125783e-17", "1e-999999", "1" * 15 + "." + "1" * 40, "-999,999,999,999,999.9996", "1e15", "1e30000", "x", "1.2.3", " ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r for r in rows.select("t", numbers.number_invalid("t").alias("bad"), numbers.not_storable("t").alias("wide"), numbers.feed_quantity("t").alias("q"), numbers.forecast_valid("t").alias("f")).collect()}
+    assert [t for t in texts if got[t].bad] == ["x", "1.2.3"] and [t for t in texts if got[t].wide] == texts[5:8]
+    assert [got[t].q for t in texts[:5]] == [Decimal(texts[0]), Decimal(texts[1]), Decimal("0.000000000000000056"), 0, Decimal("1" * 15 + "." + "1" * 18)]
+    assert [t for t in texts if got[t].f] == [*texts[:5], "1e15", "1e30000"]
+    cells = ["shipment_qty", "order_qty", "shipped_total", "difference_qty", "sku_code", "sku_name", "order_group", "order_no", "batch_no", "eta", "warehouse_entry"]
+    raw = spark.createDataFrame([("12.300000000000001", "1e15", "x", " ", *["a"] * 5, "2000-01-01", None)], ", ".join(f"{c} string" for c in cells)).withColumn("row_number", F.lit(1))
+    row = planning_feeds.type_incoming(raw).first()
+    assert {(f.code, f.field) for f in row.findings} == {("INCOMING_QUANTITY_NOT_STORABLE", "order_qty"), ("INCOMING_QUANTITY_INVALID", "shipped_total")}
+    assert row.shipment_qty == Decimal("12.300000000000001") and row.shipment_qty_text == "12.300000000000001" and row.difference_qty is None
