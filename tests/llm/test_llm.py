@@ -232,6 +232,27 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.score(docs, nothing).count() == docs.count() and quality_classifier.score(empty, model).count() == 0
 
 
+def test_co_training_reads_the_whole_pool(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word() + ("###" if i % 4 == 0 else "") for _ in range(30)), "en", f"s{i % 4}") for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id bigint, quality int")
+    model = quality_classifier.learn(table(spark, rows), labels, max_rows=60)
+    zlib = quality_classifier.zlib
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    x = quality_classifier.views(pa.array([r[1] for r in used], pa.large_string()), [r[3] for r in used], [r[2] for r in used])
+    assert np.allclose(model.text.mean, x[0].mean(axis=0)) and np.allclose(model.meta.spread, x[1].std(axis=0) + 1e-6, atol=1e-6)
+    free = np.array([r[0] >= 200 for r in used])
+    for pupil, teacher in ((0, model.meta), (1, model.text)):
+        label = quality_classifier.taught(teacher, x[1 - pupil], free, model.history[pupil], 0.9)
+        assert (label >= 0).sum() == model.taught[pupil] > 60 and not (label[~free] >= 0).any()
+    good = quality_classifier.score(table(spark, rows), model).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 > 0) for r in good) >= 1480
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
