@@ -7,7 +7,7 @@ For every length of an item, all windows of that many words are held against the
 2. The 64-bit SimHash of the window is looked up in `radius + 1` bit blocks: within the radius two fingerprints agree in one block at least, so no fingerprint within it is missed.
 3. Fingerprints within the radius are candidates, and the exact similarity decides. At similarity 0.8 fingerprints differ in 10 bits on average; with the default radius of 19 fewer than one such pair in a thousand is lost to the sketch.
 
-The items go to the tasks in passes of at most `max_words` words (hash parts of the benchmark), so what is sent has a bound however large the benchmark is; each pass reads the corpus once and shuffles nothing but its matches.
+The items go to the tasks in passes of at most `max_words` words (hash parts of the benchmark), so what is sent has a bound however large the benchmark is; each pass reads the corpus once and shuffles nothing but its matches. Weights are those of the whole benchmark in any number of passes: a shingle of one item weighs like one of none, so only shingles shared by items must be known, and with several passes their places in the corpus are looked up first, in parts of at most `max_words` shingles, and written with the texts.
 
 Null and short texts (under five words) of either side match nothing. A row of documents is judged alone, so repeated rows match alike; a null doc_id is kept. Items with the same text are each reported. Other columns are not read.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import own_columns
+from .stage import written
 from .words import PUNCTUATION, Words, signed, slices, text_column
 
 _FOUND = "doc_id bigint, item_id bigint, similarity double, word_start bigint, n_words bigint"
@@ -42,7 +43,7 @@ class Index:
         self.k, self.least, self.radius = k, least, radius
         run = Words(pa.array(texts, pa.large_string()), gaps=PUNCTUATION)
         grams, at = run.grams(k)
-        self.other = math.log(1 + n_items)
+        self.n_items, self.other = n_items, math.log(1 + n_items)
         sets = [np.unique(grams[at[i] : at[i + 1]]) for i in range(len(ids))]
         known, df = np.unique(np.concatenate(sets) if sets else grams, return_counts=True)
         if frequency is not None:
@@ -83,9 +84,11 @@ class Index:
         out[places] = self.weight[np.searchsorted(self.known, shingles[places])]
         return out
 
-    def matches(self, shingles: np.ndarray, places: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of one document, the best window of each item."""
+    def matches(self, shingles: np.ndarray, places: np.ndarray, shared: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, float, int, int]]:
+        """(item, similarity, first word, words) of one document, the best window of each item. `shared`: places of shingles that items of any pass share, and how many items."""
         weights = self.weights(shingles)
+        if shared is not None:
+            weights[shared[0]] = np.log(1 + self.n_items / shared[1])
         hits = np.zeros(len(shingles))
         hits[places] = weights[places]
         reach = np.concatenate(([0.0], np.cumsum(hits)))
@@ -119,6 +122,7 @@ def _searched(index: Index):
         for batch in batches:
             rows = []
             texts, ids = text_column(batch), batch.column("doc_id")
+            notes = batch.column("notes").to_pylist() if "notes" in batch.schema.names else [None] * batch.num_rows
             for begin, end in slices(texts):
                 words = Words(texts.slice(begin, end - begin), gaps=PUNCTUATION)
                 shingles, at = words.grams(index.k)
@@ -127,7 +131,9 @@ def _searched(index: Index):
                     continue
                 for d in np.unique(np.searchsorted(at, places, "right") - 1).tolist():
                     lo, hi = np.searchsorted(places, (at[d], at[d + 1]))
-                    found = index.matches(shingles[at[d] : at[d + 1]], places[lo:hi] - at[d])
+                    note = notes[begin + d]
+                    shared = None if note is None else (np.array([x["at"] for x in note], np.int64), np.array([x["n"] for x in note], float))
+                    found = index.matches(shingles[at[d] : at[d + 1]], places[lo:hi] - at[d], shared)
                     rows += [(ids[begin + d].as_py(), *m) for m in found]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -145,18 +151,21 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8, k: int = 5
     out = None
     lowered = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
     part = F.pmod(F.xxhash64("text"), F.lit(passes))
+    if passes > 1:
+        shared = _shared(items, k)
+        lowered = _noted(lowered, shared, k, max_words)
     for p in range(passes):
         rows = items.filter(part == p).orderBy("item_id", "text").collect()  # at most about max_words words
         if passes > 1:
-            frequency = _frequencies(items, rows, k)
+            frequency = _frequencies(shared, rows, k)
         index = Index([r[0] for r in rows], [r[1] for r in rows], n_items, frequency, k, least, radius)
         found = lowered.mapInArrow(_searched(index), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _frequencies(items: DataFrame, rows: list, k: int) -> dict[int, int]:
-    """In how many of all items each shingle of this pass occurs."""
+def _shared(items: DataFrame, k: int) -> DataFrame:
+    """gram, n: the shingles that two items or more have, and how many."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,10 +173,56 @@ def _frequencies(items: DataFrame, rows: list, k: int) -> dict[int, int]:
             own = [np.unique(grams[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(own)) if own else [], pa.int64())], ["gram"])
 
+    counted = items.select("text").mapInArrow(shingles, "gram bigint").groupBy("gram").agg(F.count("*").alias("n"))
+    return written(counted.filter("n > 1"), "shared-shingles")
+
+
+def _frequencies(shared: DataFrame, rows: list, k: int) -> dict[int, int]:
+    """In how many of all items each shared shingle of this pass occurs."""
     grams = Words(pa.array([r[1] for r in rows], pa.large_string()), gaps=PUNCTUATION).grams(k)[0]
-    wanted = items.sparkSession.createDataFrame([(x,) for x in np.unique(signed(grams)).tolist()], "gram bigint")
-    counted = items.select("text").mapInArrow(shingles, "gram bigint").groupBy("gram").count().join(wanted, "gram")
-    return {r[0] & ((1 << 64) - 1): r[1] for r in counted.collect()}  # no more rows than shingles of this pass
+    wanted = shared.sparkSession.createDataFrame([(x,) for x in np.unique(signed(grams)).tolist()], "gram bigint")
+    return {r[0] & ((1 << 64) - 1): r[1] for r in shared.join(wanted, "gram").collect()}  # no more rows than shingles of this pass
+
+
+_NOTES = "h1 bigint, h2 bigint, notes array<struct<at: int, n: bigint>>"
+
+
+def _noting(grams: np.ndarray, counts: np.ndarray, k: int):
+    """Texts that hold any of the sorted grams, with the places and counts of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts, h1, h2 = [], text_column(batch), batch.column("h1"), batch.column("h2")
+            for begin, end in slices(texts):
+                own, at = Words(texts.slice(begin, end - begin), gaps=PUNCTUATION).grams(k)
+                found = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                places = np.flatnonzero(grams[found] == own)
+                for d in np.unique(np.searchsorted(at, places, "right") - 1).tolist():
+                    lo, hi = np.searchsorted(places, (at[d], at[d + 1]))
+                    notes = [{"at": int(p - at[d]), "n": int(counts[found[p]])} for p in places[lo:hi]]
+                    rows.append((h1[begin + d].as_py(), h2[begin + d].as_py(), notes))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h1", "h2", "notes"])
+
+    return run
+
+
+def _noted(docs: DataFrame, shared: DataFrame, k: int, most: int) -> DataFrame:
+    """The documents with notes: where they have shingles that items share, and how many items (null where none)."""
+    keyed = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(5), "text")})
+    parts = max(1, -(-shared.count() // most))
+    notes = None
+    for p in range(parts):
+        rows = sorted((r[0] & ((1 << 64) - 1), r[1]) for r in shared.filter(F.pmod("gram", F.lit(parts)) == p).collect())  # about `most` rows
+        if rows:
+            grams, counts = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows])
+            found = keyed.select("h1", "h2", "text").mapInArrow(_noting(grams, counts, k), _NOTES).groupBy("h1", "h2").agg(F.first("notes").alias("notes"))  # equal texts have equal notes
+            notes = found if notes is None else notes.unionByName(found)
+    if notes is None:
+        return docs
+    notes = notes.groupBy("h1", "h2").agg(F.flatten(F.collect_list("notes")).alias("notes"))
+    return written(keyed.join(written(notes, "shared-places"), ["h1", "h2"], "left").select("doc_id", "text", "notes"), "noted-documents")
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -161,6 +161,42 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_items(empty, bench).count() == 0 and decontamination.find_items(frame, bench.filter("false")).count() == 0
 
 
+def test_decontamination_weighs_shared_phrases_over_all_items(spark):
+    from math import log
+
+    rng = random.Random(12)
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    phrases = [fresh(14) for _ in range(4)]
+    items = [(i, fresh(rng.randint(50, 60)) + phrases[i % 4] + fresh(rng.randint(50, 60))) for i in range(40)]
+    rows = []
+    for i, words in items:
+        for turn in range(4):
+            altered = list(words)
+            if turn % 2:
+                altered[:14] = phrases[(i + turn) % 4]  # a phrase that only other items have, perhaps none of the pass
+            else:
+                altered[: turn + 1] = fresh(turn + 1)
+            rows.append((10 * i + turn, " ".join(fresh(5) + altered + fresh(5))))
+    grams = lambda w: [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    df = Counter(g for _, w in items for g in set(grams(w)))
+    weight = lambda own: sum(log(1 + len(items) / df.get(g, 1)) for g in own)
+    want = {}
+    for d, text in rows:
+        all_ = grams(text.split())
+        for i, words in items:
+            own = set(grams(words))
+            n = len(words) - 4
+            near = [j for j in range(len(all_) - n + 1) if len(own & set(all_[j : j + n])) > n // 3]
+            best = max((weight(own & set(all_[j : j + n])) / weight(own | set(all_[j : j + n])) for j in near), default=0)
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    for most in (2_000_000, 700):
+        assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontamination.find_items(frame, bench, max_words=most).collect()} == want
+    assert len(want) > 20
+
+
 def test_substring_dedup(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     for window, k in ((35, 8), (6, 2)):
