@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, decontamination, language_id, line_dedup, ngram_join, periodic_runs, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, toxicity
+from . import conversation_repair, decontamination, language_id, line_dedup, minhash_dedup, ngram_join, periodic_runs, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8,
     "op9_language_id": language_id.op9,
     "op10_quality_classifier": quality_classifier.op10,
+    "op11_minhash_dedup": minhash_dedup.op11,
     "op12_conversation_repair": conversation_repair.op12,
     "op13_periodic_runs": periodic_runs.op13,
 }
