@@ -73,4 +73,14 @@ def test_minhash_rates():
     x, y = (np.concatenate((common, rng.integers(0, 1 << 63, 100).astype(np.uint64))) for _ in range(2))
     a, b = minhash_dedup.minhashes([x, y, np.zeros(0, np.uint64)], 2000)[:2]
     assert abs((a == b).mean() - 0.8) < 0.04
-    assert minhash_dedup.parts_for(80) == 10 and 15 <= minhash_dedup.least_matches(80, 40) <= 22
+    assert minhash_dedup.parts_for(80) == 10
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 400, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[: n * 8 // 10], rng.integers(0, 1 << 63, n // 4).astype(np.uint64))))
+        rates, bits = minhash_dedup.bitmaps([x, y])
+        apart = int(np.unpackbits((bits[0] ^ bits[1]).view(np.uint8)).sum())
+        assert apart <= len(np.setxor1d(x, y)) and rates[0] == (3 if n == 3000 else 0)
