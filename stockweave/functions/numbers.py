@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from stockweave.functions.text import col, normalize_text, strip
 
-_NUMBER_SHAPE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: An exponent has 17 significant digits at most, so sums with text lengths stay in BIGINT.
+_NUMBER_SHAPE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?0*[0-9]{1,17})?$"
 
-PLANNING_QTY = "decimal(34,10)"
 FEED_QTY, STORED_QTY = "decimal(36,18)", "decimal(18,3)"
-#: Numbers whose plain text would be longer than this many zeros have none.
+#: Numbers whose plain text would need more zeros than this keep an exponent.
 _LONGEST = 10_000
+_LIMB = 9
 
 
 def _let(value: Column, use) -> Column:
@@ -30,7 +31,7 @@ def _parsed(text: Column, use) -> Column:
     def of(t: Column) -> Column:
         lower = F.lower(t)
         body = F.substring_index(lower, "e", 1)
-        power = F.when(lower.contains("e"), F.substring_index(lower, "e", -1).try_cast("int")).otherwise(0)
+        power = F.when(lower.contains("e"), F.substring_index(lower, "e", -1).try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         plain = F.ltrim(body, F.lit("+-"))
         fraction = F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise("")
         raw = F.struct(body.startswith("-").alias("negative"), F.concat(F.substring_index(plain, ".", 1), fraction).alias("digits"), (power - F.length(fraction)).alias("power"))
@@ -73,18 +74,13 @@ def order_quantity(value: Column | str) -> Column:
     return F.when(number >= 0, number)
 
 
-def planning_number(value: Column | str) -> Column:
-    """Number with thousands marks; blank, no number or not held exactly -> NULL."""
-    return exact_decimal(F.regexp_replace(normalize_text(value), "[,_]", ""), 24, 10)
-
-
 def number_invalid(value: Column | str) -> Column:
     """A non-blank text without the shape of a number; how many digits it has does not matter."""
     return ~strip(F.regexp_replace(normalize_text(value), "[,_]", "")).rlike(_NUMBER_SHAPE) & normalize_text(value).isNotNull()
 
 
 def feed_quantity(value: Column | str) -> Column:
-    """Quantity of a feed cell with thousands marks, to 18 decimals; blank, no number or 10^18 and more -> NULL. `decimal_text` keeps all digits."""
+    """Quantity of a feed cell with thousands marks, to 18 decimals; blank, no number or 10^18 and more -> NULL. For sums; signs and balances are decided on `decimal_text`, which keeps all digits."""
 
     def held(n: Column) -> Column:
         point = F.length(n["significant"]) + n["exponent"]
@@ -99,14 +95,9 @@ def not_storable(value: Column | str) -> Column:
     return ~number_invalid(value) & normalize_text(value).isNotNull() & feed_quantity(value).try_cast(STORED_QTY).isNull()
 
 
-def blank_is_zero(value: Column | str) -> Column:
-    return F.when(normalize_text(value).isNull(), F.lit(0).cast(PLANNING_QTY)).otherwise(planning_number(value))
-
-
-def forecast_quantity(value: Column | str) -> Column:
-    """Non-negative number held exactly, else NULL; a small negative is no zero."""
-    number = exact_decimal(col(value).cast("string"), 24, 10)
-    return F.when(number >= 0, number)
+def feed_quantity_or_zero(value: Column | str) -> Column:
+    """The same, but a blank cell is zero."""
+    return F.when(normalize_text(value).isNull(), F.lit(0).cast(FEED_QTY)).otherwise(feed_quantity(value))
 
 
 def forecast_valid(value: Column | str) -> Column:
@@ -116,29 +107,77 @@ def forecast_valid(value: Column | str) -> Column:
 
 
 def decimal_text(value: Column | str) -> Column:
-    """Canonical text of all digits: no exponent, no trailing zeros; NULL when no number."""
+    """Canonical text of all digits: no exponent, no trailing zeros; NULL when no number.
+
+    Beyond 10,000 zeros to fill in, the text is ``digits e power``: still exact and one text per number.
+    """
 
     def shown(n: Column) -> Column:
         digits, exponent = n["significant"], n["exponent"]
         point = F.length(digits) + exponent
+        few = lambda n: n.cast("int")
         body = (
-            F.when(exponent >= 0, F.concat(digits, F.repeat(F.lit("0"), exponent)))
-            .when(point > 0, F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
-            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            F.when((exponent > _LONGEST) | (point < -_LONGEST), F.concat(digits, F.lit("e"), exponent.cast("string")))
+            .when(exponent >= 0, F.concat(digits, F.repeat(F.lit("0"), few(exponent))))
+            .when(point > 0, F.concat(F.substr(digits, F.lit(1), few(point)), F.lit("."), F.substr(digits, few(point + 1))))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), few(-point)), digits))
         )
         signed = F.when(n["negative"], F.concat(F.lit("-"), body)).otherwise(body)
-        return F.when(digits == "", F.lit("0")).when(F.abs(exponent) <= _LONGEST, signed)
+        return F.when(digits == "", F.lit("0")).otherwise(signed)
 
     return _parsed(F.regexp_replace(normalize_text(value), "[,_]", ""), shown)
 
 
-def plain_text(number: Column | str) -> Column:
-    """Decimal to text without exponent or trailing fraction zeros."""
-    number = col(number)
-    # format_number keeps every digit; a cast may switch to exponent notation.
-    text = F.regexp_replace(F.format_number(number, 18), ",", "")
-    text = F.regexp_replace(text, r"\.?0+$", "")
-    return F.when(number == 0, F.lit("0")).otherwise(text)
+def is_negative(text: Column | str) -> Column:
+    """Whether a canonical text (`decimal_text`) is below zero, by its sign and so however small."""
+    return col(text).startswith("-")
+
+
+def balanced(plus: list[Column], minus: list[Column]) -> Column:
+    """Whether canonical texts (`decimal_text`) add up to the same on both sides, digit by digit; NULL with a NULL text.
+
+    Up to 18 decimals and 18 whole digits the sums are decimals. Longer numbers
+    are cut into limbs of nine digits, added limb by limb and carried from the
+    last to the first: the sides agree when nothing is left anywhere. Numbers
+    kept with an exponent agree only where both sides have the same of them.
+    """
+    many = len(plus)
+
+    def by_limbs(numbers: Column) -> Column:
+        width = lambda part: F.array_max(F.transform(numbers, lambda n: F.length(n[part])))
+
+        def carried(size: Column) -> Column:
+            def limb(k: Column) -> Column:
+                def digits(n: Column) -> Column:
+                    whole = F.lpad(n["whole"], size["whole"], F.lit("0"))
+                    return n["sign"] * F.substr(F.concat(whole, F.rpad(n["fraction"], size["fraction"], F.lit("0"))), k * _LIMB + 1, F.lit(_LIMB)).cast("bigint")
+
+                return F.aggregate(F.transform(numbers, digits), F.lit(0).cast("bigint"), lambda x, y: x + y)
+
+            limbs = F.transform(F.sequence(((size["whole"] + size["fraction"]) / _LIMB).cast("int") - 1, F.lit(0), F.lit(-1)), limb)
+            base = F.lit(10**_LIMB)
+            step = lambda state, x: _let(state["carry"] + x, lambda t: F.struct((F.floor(t / base)).cast("bigint").alias("carry"), (state["even"] & (t % base == 0)).alias("even")))
+            start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit(True).alias("even"))
+            return F.aggregate(limbs, start, step, lambda state: state["even"] & (state["carry"] == 0))
+
+        full = lambda n: (F.ceil(n / _LIMB) * _LIMB).cast("int")
+        return _let(F.struct(full(width("whole")).alias("whole"), full(width("fraction")).alias("fraction")), carried)
+
+    def parts(text: Column, i: Column) -> Column:
+        sign = F.when(text.startswith("-") == (i < many), -1).otherwise(1).cast("bigint").alias("sign")
+        plain = F.when(text.contains("e"), F.lit("0")).otherwise(F.ltrim(text, F.lit("-")))
+        fraction = F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise("")
+        return F.struct(sign, F.substring_index(plain, ".", 1).alias("whole"), fraction.alias("fraction"))
+
+    def compared(texts: Column) -> Column:
+        signed = F.transform(texts, lambda t, i: F.when(i < many, t.try_cast("decimal(36,18)")).otherwise(-t.try_cast("decimal(36,18)")))
+        zero = F.aggregate(signed, F.lit(0).cast("decimal(38,18)"), lambda x, y: (x + y).cast("decimal(38,18)")) == 0
+        short = F.forall(texts, lambda t: t.rlike(r"^-?[0-9]{1,18}([.][0-9]{1,18})?$"))
+        far = lambda start, n: F.array_sort(F.filter(F.slice(texts, start, n), lambda t: t.contains("e")))
+        exact = _let(F.transform(texts, parts), by_limbs) & (far(1, many) == far(many + 1, len(minus)))
+        return F.when(F.forall(texts, lambda t: t.isNotNull()), F.when(short, zero).otherwise(exact))
+
+    return _let(F.array(*plus, *minus), compared)
 
 
 def share(part: Column | str, total: Column | str) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Whitespace as Unicode defines it, plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # ASCII and the common CJK ideographs are their own NFKC form.
 UNSTABLE = r"[^\x00-\x7F\u4e00-\u9fff]"
 
@@ -63,7 +63,7 @@ def casefold(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(col(value), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(col(value), F.lit(SPACES))
 
 
 def blank_to_null(value: Column | str) -> Column:
@@ -74,7 +74,7 @@ def blank_to_null(value: Column | str) -> Column:
 
 def squeeze(value: Column | str) -> Column:
     """Whitespace runs to one space, trimmed, empty -> NULL (no NFKC)."""
-    text = F.trim(F.regexp_replace(col(value), rf"(?U){_SPACE}+", " "))
+    text = F.trim(F.regexp_replace(F.translate(col(value), SPACES, " " * len(SPACES)), " {2,}", " "))
     return F.when(text != "", text)
 
 

@@ -123,22 +123,37 @@ def openings(states: DataFrame, product_month: DataFrame) -> DataFrame:
 def incoming_buckets(cycles: DataFrame, lines: DataFrame) -> DataFrame:
     """Supply per product and cycle: T..T+3 by arrival month, unscheduled, overdue.
 
-    Lines are reduced to months before they meet the cycles. Supply beyond the
-    horizon and entered lines are left out.
+    Lines are reduced to months per snapshot and product, and each cycle sets a
+    mark on the line of months of every product of its snapshot. A mark then
+    sums the months n ahead of it and all months behind it: one sorted pass
+    over months and marks, no month meets a cycle it does not count for. A
+    window holds one row for each month and cycle of a snapshot's product.
+    Supply beyond the horizon and entered lines are left out.
     """
     future = lines.filter(F.col("shipment_qty").isNotNull() & ~F.col("warehouse_entry_recorded"))
-    months = future.groupBy("incoming_snapshot_id", "product_id", month_start("eta").alias("eta_month")).agg(F.sum("shipment_qty").alias("qty"))
-    joined = cycles.select("cycle_id", "cycle_month", "incoming_snapshot_id").join(months, "incoming_snapshot_id")
-    eta, start = F.col("eta_month"), F.col("cycle_month")
+    key = ["incoming_snapshot_id", "product_id"]
+    count = lambda month: F.year(month) * 12 + F.month(month)
+    months = future.groupBy(*key, month_start("eta").alias("_eta")).agg(F.sum("shipment_qty").alias("qty"))
+    products = months.select(*key).distinct()
+    marks = cycles.select("cycle_id", "incoming_snapshot_id", count("cycle_month").alias("_at")).join(products, "incoming_snapshot_id")
+    line = marks.select(*key, "_at", "cycle_id", F.lit(None).cast(months.schema["qty"].dataType).alias("qty")).unionByName(
+        months.select(*key, count("_eta").alias("_at"), F.lit(None).cast(cycles.schema["cycle_id"].dataType).alias("cycle_id"), "qty")
+    )
+    all_months = Window.partitionBy(*key)
+    along = all_months.orderBy("_at")
 
-    def total(when: Column) -> Column:
-        return F.coalesce(F.sum(F.when(when, F.col("qty"))), F.lit(0)).cast(STORED_QTY)
+    def total(value: Column, window) -> Column:
+        return F.coalesce(F.sum(value).over(window), F.lit(0)).cast(STORED_QTY)
 
-    return joined.groupBy("cycle_id", "product_id").agg(
-        *[total(eta == month_offset(start, n)).alias(f"incoming_{n}") for n in range(HORIZON)],
-        total(eta.isNull()).alias("unscheduled"),
-        total(eta < start).alias("overdue"),
+    dated = F.when(F.col("_at").isNotNull(), F.col("qty"))
+    sums = line.withColumns(
+        {
+            **{f"incoming_{n}": total(F.col("qty"), along.rangeBetween(n, n)) for n in range(HORIZON)},
+            "unscheduled": total(F.when(F.col("_at").isNull(), F.col("qty")), all_months),
+            "overdue": total(dated, along.rangeBetween(Window.unboundedPreceding, -1)),
+        }
     )
+    return sums.filter(F.col("cycle_id").isNotNull()).drop("incoming_snapshot_id", "_at", "qty")
 
 
 def forecast_cells(cycles: DataFrame, lines: DataFrame) -> DataFrame:

@@ -71,8 +71,12 @@ def has_code(code: str) -> Column:
 
 
 def finding_rows(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row per finding."""
-    return rows.select(*keep, F.explode("findings").alias("finding")).select(*keep, "finding.*")
+    """One row per finding.
+
+    An inner explode would be preceded by a filter on the array's size, and with
+    it by a second evaluation of every rule; a filter on what comes out is not.
+    """
+    return rows.select(*keep, F.explode_outer("findings").alias("finding")).filter(F.col("finding").isNotNull()).select(*keep, "finding.*")
 
 
 def finding_counts(rows: DataFrame, *by: str) -> DataFrame:

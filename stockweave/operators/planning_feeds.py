@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.functions.dates import is_complete_month, month_start, planning_date, planning_date_invalid
-from stockweave.functions.numbers import decimal_text, feed_quantity, not_storable, number_invalid
+from stockweave.functions.numbers import balanced, decimal_text, feed_quantity, feed_quantity_or_zero, is_negative, not_storable, number_invalid
 from stockweave.functions.text import code_text, normalize_text
 from stockweave.operators.findings import finding, with_findings
 from stockweave.operators.groups import fill_forward
@@ -139,8 +139,8 @@ def type_inventory(raw: DataFrame) -> DataFrame:
         {
             **{c: normalize_text(c) for c in texts},
             **{c: planning_date(source) for c, source in days.items()},
-            **{c: F.when(normalize_text(source).isNull(), F.lit(0)).otherwise(feed_quantity(source)) for c, source in quantities.items()},
-            **{f"{c}_text": decimal_text(source) for c, source in quantities.items()},
+            **{c: feed_quantity_or_zero(source) for c, source in quantities.items()},
+            **{f"{c}_text": F.when(normalize_text(source).isNull(), "0").otherwise(decimal_text(source)) for c, source in quantities.items()},
         }
     )
     rules = [finding(planning_date_invalid(source, required=True), "INVENTORY_VALUE_INVALID", field=c) for c, source in days.items()]
@@ -164,11 +164,20 @@ def inventory_batch_findings(batches: DataFrame) -> DataFrame:
     return batches.select("batch_id", F.explode(found).alias("code"))
 
 
-def inventory_balance_rules() -> list:
-    """Balances are non-negative and opening + receipt - issue = ending."""
-    rules = [finding(F.col(c) < 0, "INVENTORY_BALANCE_QUANTITY_NEGATIVE", field=c) for c in ("opening_qty", "ending_qty")]
-    moved = F.col("opening_qty") + F.col("receipt_qty") - F.col("issue_qty")
-    return [*rules, finding(moved != F.col("ending_qty"), "INVENTORY_BALANCE_MISMATCH")]
+def below_zero(frame: DataFrame, name: str) -> Column:
+    """Sign of a quantity: of all its digits where the rows keep them."""
+    return is_negative(f"{name}_text") if f"{name}_text" in frame.columns else F.col(name) < 0
+
+
+def inventory_balance_rules(frame: DataFrame) -> list:
+    """Balances are non-negative and opening + receipt - issue = ending, to the last digit where the rows keep texts."""
+    rules = [finding(below_zero(frame, c), "INVENTORY_BALANCE_QUANTITY_NEGATIVE", field=c) for c in ("opening_qty", "ending_qty")]
+    if all(f"{c}_text" in frame.columns for c in BALANCE):
+        opening, receipt, issue, ending = (F.col(f"{c}_text") for c in BALANCE)
+        off = ~balanced([opening, receipt], [issue, ending])
+    else:
+        off = F.col("opening_qty") + F.col("receipt_qty") - F.col("issue_qty") != F.col("ending_qty")
+    return [*rules, finding(off, "INVENTORY_BALANCE_MISMATCH")]
 
 
 def resolve_inventory(typed: DataFrame, sku: DataFrame, product: DataFrame, policy: DataFrame) -> DataFrame:
@@ -179,7 +188,7 @@ def resolve_inventory(typed: DataFrame, sku: DataFrame, product: DataFrame, poli
     matched by normalised warehouse name; the first entry of a name counts.
     """
     skus = sku_products(typed, sku, product, key="text").select("sku_code", "sku_id", "sku_status", "product_id", "product_status")
-    joined = with_findings(typed.join(skus, "sku_code", "left"), inventory_balance_rules())
+    joined = with_findings(typed.join(skus, "sku_code", "left"), inventory_balance_rules(typed))
     inactive = F.col("sku_code").isNotNull() & ~F.col("sku_status").eqNullSafe(F.lit("ACTIVE"))
     no_product = F.col("sku_status").eqNullSafe(F.lit("ACTIVE")) & ~(
         F.col("product_id").isNotNull() & F.col("product_status").eqNullSafe(F.lit("ACTIVE"))
@@ -291,7 +300,7 @@ def resolve_incoming(typed: DataFrame, sku: DataFrame, product: DataFrame) -> Da
         [
             finding(F.col("sku_code").isNull(), "INCOMING_SKU_REQUIRED", field="sku_code"),
             finding(F.col("product_id").isNull(), "INCOMING_PRODUCT_UNRESOLVED", field="sku_code"),
-            finding(F.col("shipment_qty") < 0, "INCOMING_QUANTITY_NEGATIVE", field="shipment_qty"),
+            finding(below_zero(typed, "shipment_qty"), "INCOMING_QUANTITY_NEGATIVE", field="shipment_qty"),
         ],
     )
 

@@ -769,13 +769,27 @@ def grain_audit(spark, sf_dir):
 @query(
     "referential_audit",
     oracle(
-        """SELECT 'order customer' AS link, CAST(o_custkey + 1 AS VARCHAR) AS missing_id, count(*) AS rows FROM orders WHERE o_custkey % 53 = 0 GROUP BY 2
-UNION ALL SELECT 'customer rep', CAST(c_nationkey + 100 AS VARCHAR), count(*) FROM customer GROUP BY 2"""
+        """SELECT 'order customer' AS link, CAST(1000000000 + o_custkey AS VARCHAR) AS missing_id, count(*) AS rows FROM orders WHERE o_custkey % 53 = 0 GROUP BY 2
+UNION ALL SELECT 'customer rep', CAST(c_nationkey + 101 AS VARCHAR), count(*) FROM customer WHERE c_custkey % 19 = 0 GROUP BY 2
+UNION ALL SELECT 'line SKU', CAST(-l_partkey AS VARCHAR), count(*) FROM lineitem WHERE l_suppkey % 23 = 0 GROUP BY 2
+UNION ALL SELECT 'SKU product', '-1', count(*) FROM m_sku WHERE sku_id % 31 = 0 AND product_id IS NOT NULL HAVING count(*) > 0"""
     ),
 )
 def referential_audit(spark, sf_dir):
-    orders = data.table(spark, sf_dir, "orders").select((F.col("o_custkey") + 1).alias("customer_id"))
-    reps = data.table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 100).cast("bigint").alias("salesrep_id"))
+    """Four links, each broken on a share of its rows only; a SKU without product breaks none."""
+    off = lambda when, lost, name: F.when(when, lost).otherwise(F.col(name)).cast("bigint").alias(name)
+    orders = data.table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_custkey") + 1).alias("customer_id"))
+    orders = orders.select(off(F.col("o_custkey") % 53 == 0, F.col("o_custkey") + 1_000_000_000, "customer_id"))
+    reps = data.customer(spark, sf_dir).select(off((F.col("customer_id") - 1) % 19 == 0, F.col("salesrep_id") + 100, "salesrep_id"))
+    lines = data.lines(spark, sf_dir).select("l_suppkey", "l_partkey", (F.col("l_partkey") * 2 + 1).alias("sku_id"))
+    lines = lines.select(off(F.col("l_suppkey") % 23 == 0, -F.col("l_partkey"), "sku_id"))
+    skus = data.sku(spark, sf_dir)
+    homes = skus.select(off((F.col("sku_id") % 31 == 0) & F.col("product_id").isNotNull(), F.lit(-1), "product_id"))
     return audit.orphans(
-        [("order customer", orders, "customer_id", data.customer(spark, sf_dir), "customer_id"), ("customer rep", reps, "salesrep_id", data.salesrep(spark, sf_dir), "salesrep_id")]
+        [
+            ("order customer", orders, "customer_id", data.customer(spark, sf_dir), "customer_id"),
+            ("customer rep", reps, "salesrep_id", data.salesrep(spark, sf_dir), "salesrep_id"),
+            ("line SKU", lines, "sku_id", skus, "sku_id"),
+            ("SKU product", homes, "product_id", data.product(spark, sf_dir), "product_id"),
+        ]
     )

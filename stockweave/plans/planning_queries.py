@@ -153,8 +153,10 @@ def inventory_finding_counts(spark, sf_dir):
     oracle(
         """SELECT code, field, 'ERROR' AS severity, count(*) AS findings, count(DISTINCT row_number) AS affected_rows FROM (
   SELECT row_number, 'INVENTORY_BALANCE_MISMATCH' AS code, NULL AS field FROM inventory WHERE (row_number % 13 = 1 AND opening_qty <> 0)
-    OR (row_number % 13 = 2 AND ending_qty <> -1)
+    OR (row_number % 13 = 2 AND ending_qty <> -1) OR row_number % 13 IN (6, 7, 9, 10)
   UNION ALL SELECT row_number, 'INVENTORY_BALANCE_QUANTITY_NEGATIVE', 'ending_qty' FROM inventory WHERE row_number % 13 = 2
+  UNION ALL SELECT row_number, 'INVENTORY_BALANCE_QUANTITY_NEGATIVE', 'opening_qty' FROM inventory WHERE row_number % 13 = 6
+  UNION ALL SELECT row_number, 'INVENTORY_VALUE_NOT_STORABLE', 'receipt_qty' FROM inventory WHERE row_number % 13 = 10
   UNION ALL SELECT row_number, 'INVENTORY_REQUIRED_FIELD_MISSING', 'batch_no' FROM inventory WHERE row_number % 13 = 3
   UNION ALL SELECT row_number, 'INVENTORY_VALUE_INVALID', 'production_date' FROM inventory WHERE row_number % 13 = 4
   UNION ALL SELECT row_number, 'INVENTORY_VALUE_INVALID', 'receipt_qty' FROM inventory WHERE row_number % 13 = 5) GROUP BY ALL"""
@@ -164,6 +166,11 @@ def inventory_balance_findings(spark, sf_dir):
     rows = data.inventory_rows(spark, sf_dir)
     turn = F.col("row_number") % 13
     day = F.date_format("production_date", "yyyy-MM-dd")
+
+    def fine(name):
+        """The same number and 10^-22."""
+        return F.concat(F.col(name).cast("string"), F.lit("0000000000000000001"))
+
     raw = rows.select(
         "row_number",
         "sku_code",
@@ -173,13 +180,13 @@ def inventory_balance_findings(spark, sf_dir):
         day.alias("expiry_day"),
         F.when(turn == 3, "").otherwise("LOT").alias("batch_no"),
         F.lit("Pcs").alias("inventory_unit"),
-        F.when(turn == 1, " ").otherwise(F.col("opening_qty").cast("string")).alias("opening"),
-        F.when(turn == 5, "n/a").otherwise(F.col("receipt_qty").cast("string")).alias("receipt"),
-        F.col("issue_qty").cast("string").alias("issue"),
-        F.when(turn == 2, "-1").otherwise(F.col("ending_qty").cast("string")).alias("ending"),
+        F.when(turn == 1, " ").when(turn == 6, "-1e-19").when(turn == 8, fine("opening_qty")).otherwise(F.col("opening_qty").cast("string")).alias("opening"),
+        F.when(turn == 5, "n/a").when(turn == 10, "1.50e2147483647").otherwise(F.col("receipt_qty").cast("string")).alias("receipt"),
+        F.when(turn == 9, "1.5e-2147483648").otherwise(F.col("issue_qty").cast("string")).alias("issue"),
+        F.when(turn == 2, "-1").when((turn == 7) | (turn == 8), fine("ending_qty")).otherwise(F.col("ending_qty").cast("string")).alias("ending"),
     )
-    typed = with_findings(feeds.type_inventory(raw), feeds.inventory_balance_rules())
-    return finding_counts(typed)
+    typed = feeds.type_inventory(raw)
+    return finding_counts(with_findings(typed, feeds.inventory_balance_rules(typed)))
 
 
 _SUMS = ", ".join(f"CAST(sum({c}) AS {_QTY}) AS {c}" for c in feeds.BALANCE)
@@ -254,7 +261,8 @@ def valid_incoming(spark, sf_dir):
     oracle(
         """SELECT code, field, 'ERROR' AS severity, count(*) AS findings, count(DISTINCT row_number) AS affected_rows FROM (
   SELECT row_number, 'INCOMING_QUANTITY_INVALID' AS code, 'shipment_qty' AS field FROM incoming WHERE row_number % 19 = 1
-  UNION ALL SELECT row_number, 'INCOMING_QUANTITY_NEGATIVE', 'shipment_qty' FROM incoming WHERE row_number % 19 = 2
+  UNION ALL SELECT row_number, 'INCOMING_QUANTITY_NEGATIVE', 'shipment_qty' FROM incoming WHERE row_number % 19 IN (2, 5)
+  UNION ALL SELECT row_number, 'INCOMING_QUANTITY_NOT_STORABLE', 'shipment_qty' FROM incoming WHERE row_number % 19 = 6
   UNION ALL SELECT row_number, 'INCOMING_ETA_INVALID', 'eta' FROM incoming WHERE row_number % 19 = 3
   UNION ALL SELECT row_number, 'INCOMING_SKU_REQUIRED', 'sku_code' FROM incoming WHERE row_number % 19 = 4
   UNION ALL SELECT row_number, 'INCOMING_PRODUCT_UNRESOLVED', 'sku_code' FROM incoming i WHERE row_number % 19 = 4
@@ -271,7 +279,12 @@ def incoming_text_typing(spark, sf_dir):
         F.lit("Item").alias("sku_name"),
         "order_group",
         "order_no",
-        F.when(turn == 1, "??").when(turn == 2, "-3").otherwise(F.col("shipment_qty").cast("string")).alias("shipment_qty"),
+        F.when(turn == 1, "??")
+        .when(turn == 2, "-3")
+        .when(turn == 5, "-1e-19")
+        .when(turn == 6, "1.50e2147483647")
+        .when(turn == 7, "1.5e-2147483648")
+        .otherwise(F.col("shipment_qty").cast("string")).alias("shipment_qty"),
         F.lit(None).cast("string").alias("order_qty"),
         F.lit("").alias("shipped_total"),
         F.lit("1,000").alias("difference_qty"),
@@ -404,9 +417,11 @@ def lot_source_findings(spark, sf_dir):
 
 
 def stored_revisions(spark, sf_dir):
-    """Earlier revisions: lots as seen in all but their newest month."""
-    months = lots.lot_months(planning_inventory(spark, sf_dir))
-    earlier = months.filter(F.col("inventory_month") < "2001-01-01")
+    """Earlier revisions: lots of odd products as seen in all but their newest month, the others as they are."""
+    months = stage(lots.lot_months(planning_inventory(spark, sf_dir)))
+    newest = months.groupBy("product_id", "production_date").agg(F.max("inventory_month").alias("_newest"))
+    seen = (F.col("product_id") % 2 == 0) | (F.col("inventory_month") < F.col("_newest"))
+    earlier = months.join(newest, ["product_id", "production_date"]).filter(seen).drop("_newest")
     results = lots.with_return_policy(lots.lifecycles(earlier), None)
     return results.withColumn("provenance", lots.provenance()).withColumn("revision_no", F.lit(1))
 
@@ -414,11 +429,10 @@ def stored_revisions(spark, sf_dir):
 @query(
     "lot_revisions",
     oracle(
-        """SELECT l.product_id, l.production_date, CASE WHEN o.product_id IS NOT NULL AND NOT changed THEN 1 WHEN o.product_id IS NOT NULL THEN 2 ELSE 1 END AS revision_no,
-  o.product_id IS NULL OR changed AS created
-FROM lot l LEFT JOIN (SELECT m.product_id, m.production_date, max(m.inventory_month) >= DATE '2001-01-01' AS changed FROM lot_month m
-  GROUP BY 1, 2 HAVING min(m.inventory_month) < DATE '2001-01-01' AND (min_by(opening_qty, inventory_month) > 0
-    OR count(*) FILTER (receipt_qty > 0 AND inventory_month < DATE '2001-01-01') > 0)) o USING (product_id, production_date)""",
+        """SELECT l.product_id, l.production_date, CASE WHEN o.product_id IS NOT NULL AND changed THEN 2 ELSE 1 END AS revision_no, o.product_id IS NULL OR changed AS created
+FROM lot l LEFT JOIN (SELECT m.product_id, m.production_date, m.product_id % 2 = 1 AS changed FROM lot_month m JOIN lot_agg a USING (product_id, production_date)
+  WHERE m.product_id % 2 = 0 OR inventory_month < last_month GROUP BY 1, 2
+  HAVING min_by(opening_qty, inventory_month) > 0 OR count(*) FILTER (receipt_qty > 0) > 0) o USING (product_id, production_date)""",
         *_LOTS,
     ),
 )
@@ -464,20 +478,27 @@ def unambiguous_lot_revision(spark, sf_dir):
 
 
 def stored_facts(spark, sf_dir, *names):
-    """Monthly facts and future supply as their commits would have stored them."""
+    """Monthly facts and future supply as their commits would have stored them, and the cycles."""
     build = {
         "actuals": lambda: feeds.actual_channel_months(valid_actuals(spark, sf_dir)),
         "inventory": lambda: feeds.inventory_months(planning_inventory(spark, sf_dir), ["product_id"], "dataset_version_id"),
-        "incoming": lambda: valid_incoming(spark, sf_dir).select("product_id", "shipment_qty", "eta", "warehouse_entry_recorded"),
+        "incoming": lambda: valid_incoming(spark, sf_dir).select("product_id", "shipment_qty", "eta", "warehouse_entry_recorded", snapshot_of("order_no").alias("incoming_snapshot_id")),
     }
-    return {name: stage(build[name]()) for name in names}
+    return {name: stage(build[name]()) for name in names} | {"cycles": stage(cycles(spark, sf_dir))}
 
 
 def month_id(month) -> F.Column:
     return (F.year(month) * 100 + F.month(month)).cast("bigint")
 
 
-def cycles(spark, sf_dir):
+def snapshot_of(number):
+    """Supply arrives in three snapshots, dealt by order number; a cycle reads the one of its month."""
+    return (F.col(number).cast("bigint") % 3 + 1).cast("bigint")
+
+
+def cycles(spark, sf_dir, facts=None):
+    if facts:
+        return facts["cycles"]
     months = data.lines(spark, sf_dir).select(F.trunc("ship_date", "MM").alias("cycle_month")).distinct()
     number = month_id("cycle_month")
     locked = F.year("cycle_month") < 1999
@@ -485,15 +506,15 @@ def cycles(spark, sf_dir):
         number.alias("cycle_id"),
         "cycle_month",
         F.when(locked, "LOCKED").otherwise("OPEN").alias("status"),
-        F.when(F.month("cycle_month") != 11, 1).cast("bigint").alias("incoming_snapshot_id"),
+        F.when(F.month("cycle_month") != 11, number % 3 + 1).cast("bigint").alias("incoming_snapshot_id"),
         (number * 10 + 1).alias("forecast_version_id"),
         F.when(locked, "planner").alias("locked_by"),
         F.when(locked, F.last_day("cycle_month")).alias("locked_at"),
     )
 
 
-def bindings(spark, sf_dir):
-    frame = cycles(spark, sf_dir)
+def bindings(spark, sf_dir, facts=None):
+    frame = cycles(spark, sf_dir, facts)
     month = F.month("cycle_month")
 
     def entry(version, start, when=None):
@@ -514,8 +535,8 @@ def bindings(spark, sf_dir):
     return frame.select("cycle_id", F.inline(listed))
 
 
-def versions(spark, sf_dir):
-    months = data.lines(spark, sf_dir).select(F.trunc("ship_date", "MM").alias("m")).distinct()
+def versions(spark, sf_dir, facts=None):
+    months = cycles(spark, sf_dir, facts).select(F.col("cycle_month").alias("m"))
     kinds = F.array(
         *[
             F.struct((month_id("m") + add).alias("dataset_version_id"), F.lit(kind).alias("dataset_type"))
@@ -533,7 +554,7 @@ def forecast_lines(spark, sf_dir, facts):
     )
     number = month_id(F.add_months("forecast_month", -F.col("n")))
     keyed = spread.select((number).alias("cycle_id"), (number * 10 + 1).alias("forecast_version_id"), "channel_id", "product_id", "forecast_month", "forecast_qty")
-    return keyed.join(cycles(spark, sf_dir).select("cycle_id"), "cycle_id", "left_semi")
+    return keyed.join(cycles(spark, sf_dir, facts).select("cycle_id"), "cycle_id", "left_semi")
 
 
 def final_orders(spark, sf_dir, facts):
@@ -553,20 +574,20 @@ def actual_month_fact(spark, sf_dir, facts):
 
 
 def supply_lines(spark, sf_dir, facts):
-    return facts["incoming"].withColumn("incoming_snapshot_id", F.lit(1).cast("bigint"))
+    return facts["incoming"]
 
 
 def buckets(spark, sf_dir, facts):
-    return cycle.incoming_buckets(cycles(spark, sf_dir), supply_lines(spark, sf_dir, facts))
+    return cycle.incoming_buckets(cycles(spark, sf_dir, facts), supply_lines(spark, sf_dir, facts))
 
 
 def cycle_products(spark, sf_dir, facts):
-    supply = cycles(spark, sf_dir).select("cycle_id", "incoming_snapshot_id").join(
+    supply = cycles(spark, sf_dir, facts).select("cycle_id", "incoming_snapshot_id").join(
         supply_lines(spark, sf_dir, facts).select("incoming_snapshot_id", "product_id").distinct(), "incoming_snapshot_id"
     )
     return cycle.workbench_products(
-        bindings(spark, sf_dir),
-        versions(spark, sf_dir),
+        bindings(spark, sf_dir, facts),
+        versions(spark, sf_dir, facts),
         product_month_fact(spark, sf_dir, facts),
         actual_month_fact(spark, sf_dir, facts),
         supply,
@@ -575,23 +596,22 @@ def cycle_products(spark, sf_dir, facts):
     )
 
 
-def cycle_channels(spark, sf_dir):
-    """Every channel is listed in every cycle."""
-    numbers = cycles(spark, sf_dir).select("cycle_id", F.lit(1).alias("_all"))
-    return numbers.join(data.channel(spark, sf_dir).select("channel_id", F.lit(1).alias("_all")), "_all").drop("_all")
+def cycle_channels(spark, sf_dir, facts):
+    """A cycle lists the channels that forecast anything in it."""
+    return forecast_lines(spark, sf_dir, facts).select("cycle_id", "channel_id").distinct()
 
 
 def cells(spark, sf_dir, facts):
-    return cycle.forecast_cells(cycles(spark, sf_dir), forecast_lines(spark, sf_dir, facts))
+    return cycle.forecast_cells(cycles(spark, sf_dir, facts), forecast_lines(spark, sf_dir, facts))
 
 
 def grid(spark, sf_dir, facts):
-    return cycle.forecast_grid(cells(spark, sf_dir, facts), cycle_products(spark, sf_dir, facts), cycle_channels(spark, sf_dir))
+    return cycle.forecast_grid(cells(spark, sf_dir, facts), cycle_products(spark, sf_dir, facts), cycle_channels(spark, sf_dir, facts))
 
 
 _CYCLES = [
     """cyc AS (SELECT DISTINCT CAST(year(ship_month) * 100 + month(ship_month) AS BIGINT) AS cycle_id, ship_month AS cycle_month,
-  CASE WHEN year(ship_month) < 1999 THEN 'LOCKED' ELSE 'OPEN' END AS status, CASE WHEN month(ship_month) <> 11 THEN 1 END AS snapshot FROM order_line)""",
+  CASE WHEN year(ship_month) < 1999 THEN 'LOCKED' ELSE 'OPEN' END AS status, CASE WHEN month(ship_month) <> 11 THEN (year(ship_month) * 100 + month(ship_month)) % 3 + 1 END AS snapshot FROM order_line)""",
     """bind AS (SELECT cycle_id, CAST(b AS DATE) AS period_start, CAST(year(b) * 100 + month(b) + add AS BIGINT) AS dataset_version_id FROM (
   SELECT cycle_id, cycle_month - INTERVAL 1 MONTH AS b, 0 AS add FROM cyc WHERE month(cycle_month) <> 5
   UNION ALL SELECT cycle_id, cycle_month - INTERVAL 2 MONTH, 0 FROM cyc UNION ALL SELECT cycle_id, cycle_month - INTERVAL 3 MONTH, 0 FROM cyc
@@ -609,20 +629,20 @@ _CYCLES = [
   WHERE baseline_state = 'Ready')""",
     f"""bucket AS (SELECT cycle_id, product_id, {", ".join(f"CAST(coalesce(sum(q) FILTER (em = cycle_month + INTERVAL {n} MONTH), 0) AS {_QTY}) AS incoming_{n}" for n in range(4))},
   CAST(coalesce(sum(q) FILTER (em IS NULL), 0) AS {_QTY}) AS unscheduled, CAST(coalesce(sum(q) FILTER (em < cycle_month), 0) AS {_QTY}) AS overdue
-  FROM cyc, (SELECT product_id, date_trunc('month', eta) AS em, sum(shipment_qty) AS q FROM incoming_valid
-    WHERE shipment_qty IS NOT NULL AND NOT warehouse_entry_recorded GROUP BY 1, 2) WHERE snapshot = 1 GROUP BY 1, 2)""",
+  FROM cyc JOIN (SELECT CAST(order_no AS BIGINT) % 3 + 1 AS snapshot, product_id, date_trunc('month', eta) AS em, sum(shipment_qty) AS q FROM incoming_valid
+    WHERE shipment_qty IS NOT NULL AND NOT warehouse_entry_recorded GROUP BY 1, 2, 3) USING (snapshot) GROUP BY 1, 2)""",
     f"""acm AS (SELECT channel_id, product_id, ship_month, CAST(sum(shipped_qty) AS {_QTY}) AS qty FROM actual_valid GROUP BY 1, 2, 3)""",
     """fc AS (SELECT cycle_id, cycle_month, channel_id, product_id, CAST(ship_month + INTERVAL 12 MONTH AS DATE) AS forecast_month, qty AS forecast_qty
   FROM acm JOIN cyc ON ship_month + INTERVAL 12 MONTH BETWEEN cycle_month AND cycle_month + INTERVAL 3 MONTH WHERE qty > 0)""",
     f"""ord AS (SELECT cycle_id, product_id, CAST(sum(forecast_qty) AS {_QTY}) AS order_qty,
   CASE WHEN product_id % 2 = 0 THEN 'CONFIRMED' ELSE 'UNCONFIRMED' END AS status FROM fc WHERE forecast_month = cycle_month GROUP BY 1, 2)""",
     """wp AS (SELECT cycle_id, product_id FROM fc UNION SELECT cycle_id, product_id FROM ord
-  UNION SELECT cycle_id, product_id FROM cyc, (SELECT DISTINCT product_id FROM incoming_valid) WHERE snapshot = 1
+  UNION SELECT cycle_id, product_id FROM cyc JOIN (SELECT DISTINCT CAST(order_no AS BIGINT) % 3 + 1 AS snapshot, product_id FROM incoming_valid) USING (snapshot)
   UNION SELECT cycle_id, product_id FROM bind b JOIN vers v USING (dataset_version_id) JOIN prod_month ON inventory_month = period_start
     WHERE dataset_type = 'INVENTORY' AND dataset_version_id < 1000000
   UNION SELECT cycle_id, product_id FROM bind b JOIN vers v USING (dataset_version_id) JOIN acm ON ship_month = period_start WHERE dataset_type = 'ACTUAL')""",
     f"""grid AS (SELECT w.cycle_id, w.product_id, h.channel_id, {", ".join(f"max(forecast_qty) FILTER (forecast_month = cycle_month + INTERVAL {n} MONTH) AS forecast_{n}" for n in range(4))}
-  FROM wp w CROSS JOIN m_channel h LEFT JOIN fc f ON f.cycle_id = w.cycle_id AND f.product_id = w.product_id AND f.channel_id = h.channel_id GROUP BY 1, 2, 3)""",
+  FROM wp w JOIN (SELECT DISTINCT cycle_id, channel_id FROM fc) h USING (cycle_id) LEFT JOIN fc f ON f.cycle_id = w.cycle_id AND f.product_id = w.product_id AND f.channel_id = h.channel_id GROUP BY 1, 2, 3)""",
     f"""totals AS (SELECT cycle_id, product_id, {", ".join(f"CAST(CASE WHEN count(forecast_{n}) = count(*) THEN sum(forecast_{n}) END AS {_QTY}) AS forecast_{n}" for n in range(4))}
   FROM grid GROUP BY 1, 2)""",
 ]
@@ -653,14 +673,14 @@ def binding_overlaps(spark, sf_dir):
 
 
 @query("baseline_states", oracle("SELECT * FROM states", *_CYCLES))
-def baseline_states(spark, sf_dir):
-    return cycle.baseline_states(cycles(spark, sf_dir), bindings(spark, sf_dir), versions(spark, sf_dir))
+def baseline_states(spark, sf_dir, facts=None):
+    return cycle.baseline_states(*(f(spark, sf_dir, facts) for f in (cycles, bindings, versions)))
 
 
 @query("workbench_opening", oracle("SELECT * FROM opening", *_CYCLES))
 def workbench_opening(spark, sf_dir):
     facts = stored_facts(spark, sf_dir, "inventory")
-    return cycle.openings(baseline_states(spark, sf_dir), product_month_fact(spark, sf_dir, facts))
+    return cycle.openings(baseline_states(spark, sf_dir, facts), product_month_fact(spark, sf_dir, facts))
 
 
 @query("incoming_buckets", oracle("SELECT * FROM bucket", *_CYCLES))
@@ -687,14 +707,14 @@ def forecast_grid(spark, sf_dir):
 )
 def forecast_month_totals(spark, sf_dir):
     facts = stored_facts(spark, sf_dir, "actuals")
-    return cycle.forecast_totals(cells(spark, sf_dir, facts), cycle_channels(spark, sf_dir))
+    return cycle.forecast_totals(cells(spark, sf_dir, facts), cycle_channels(spark, sf_dir, facts))
 
 
 def product_identity(spark, sf_dir, facts):
     masters = data.product(spark, sf_dir).select("product_id", "product_code", "product_name")
-    wanted = cycle_products(spark, sf_dir, facts)
+    wanted = stage(cycle_products(spark, sf_dir, facts))
     frozen = wanted.join(masters, "product_id").filter(F.col("product_id") % 10 != 0).withColumn("product_name", F.concat(F.lit("Frozen "), F.col("product_name")))
-    return cycle.identities(cycles(spark, sf_dir), wanted, masters, frozen, "product_id")
+    return cycle.identities(cycles(spark, sf_dir, facts), wanted, masters, frozen, "product_id")
 
 
 @query(
@@ -711,7 +731,7 @@ def cycle_identity(spark, sf_dir):
     return product_identity(spark, sf_dir, facts)
 
 
-_INCOMING = ", ".join(f"CASE WHEN snapshot = 1 THEN coalesce(incoming_{n}, 0) END AS incoming_{n}" for n in range(4))
+_INCOMING = ", ".join(f"CASE WHEN snapshot IS NOT NULL THEN coalesce(incoming_{n}, 0) END AS incoming_{n}" for n in range(4))
 _PROJECTED = ", ".join(
     "CAST(opening_qty" + "".join(f" + incoming_{i} - forecast_{i}" for i in range(n + 1)) + f" AS {_QTY}) AS projected_{n}" for n in range(4)
 )
@@ -721,7 +741,7 @@ _PROJECTED = ", ".join(
     "four_month_projection",
     oracle(
         f"""SELECT *, {_PROJECTED} FROM (SELECT w.cycle_id, w.product_id, cycle_month, product_code, product_name, opening_qty, {_INCOMING},
-  CASE WHEN snapshot = 1 THEN coalesce(unscheduled, 0) END AS unscheduled, CASE WHEN snapshot = 1 THEN coalesce(overdue, 0) END AS overdue,
+  CASE WHEN snapshot IS NOT NULL THEN coalesce(unscheduled, 0) END AS unscheduled, CASE WHEN snapshot IS NOT NULL THEN coalesce(overdue, 0) END AS overdue,
   forecast_0, forecast_1, forecast_2, forecast_3, order_qty, coalesce(o.status, 'Missing') AS confirmation
 FROM wp w JOIN cyc USING (cycle_id) LEFT JOIN m_product USING (product_id) LEFT JOIN opening USING (cycle_id, product_id)
 LEFT JOIN bucket USING (cycle_id, product_id) LEFT JOIN totals USING (cycle_id, product_id) LEFT JOIN ord o USING (cycle_id, product_id))""",
@@ -735,12 +755,12 @@ def four_month_projection(spark, sf_dir):
     masters = data.product(spark, sf_dir).select("product_id", "product_code", "product_name")
     identity = products.join(masters, "product_id")
     return cycle.workbench_rows(
-        cycles(spark, sf_dir),
+        cycles(spark, sf_dir, facts),
         products,
         identity,
-        cycle.openings(baseline_states(spark, sf_dir), product_month_fact(spark, sf_dir, facts)),
+        cycle.openings(baseline_states(spark, sf_dir, facts), product_month_fact(spark, sf_dir, facts)),
         buckets(spark, sf_dir, facts),
-        cycle.forecast_totals(cells(spark, sf_dir, facts), cycle_channels(spark, sf_dir)),
+        cycle.forecast_totals(cells(spark, sf_dir, facts), cycle_channels(spark, sf_dir, facts)),
         final_orders(spark, sf_dir, facts),
     )
 

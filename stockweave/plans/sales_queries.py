@@ -37,7 +37,7 @@ _TYPED = """typed AS (
     CASE WHEN l_partkey % 29 <> 1 THEN CAST(l_orderkey AS VARCHAR) END AS source_document_no,
     CASE WHEN l_partkey % 29 <> 2 THEN CAST(l_linenumber AS VARCHAR) END AS source_line_no,
     CASE WHEN l_partkey % 29 <> 5 THEN ship_date END AS sales_date,
-    CASE l_partkey % 29 WHEN 8 THEN NULL WHEN 9 THEN 1000 WHEN 10 THEN NULL
+    CASE l_partkey % 29 WHEN 8 THEN NULL WHEN 9 THEN 1000 WHEN 10 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN NULL
       ELSE CASE WHEN l_returnflag = 'R' THEN -qty ELSE qty END END::DECIMAL(18,4) AS actual_qty,
     l_partkey % 29 = 7 AS long_name FROM order_line)"""
 _KEYED = """keyed AS (

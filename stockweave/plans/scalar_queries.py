@@ -76,36 +76,56 @@ def exact_quantity(spark, sf_dir):
     return data.lines(spark, sf_dir).select("source_row_no", numbers.sales_quantity(raw).alias("quantity"))
 
 
+_FEED_NUMBERS = """feed_numbers AS (
+  SELECT *, CASE l_partkey % 8 WHEN 0 THEN price WHEN 3 THEN qty WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 7 THEN qty END::DECIMAL(36,18) AS number FROM numbered)"""
+
+
 @query(
     "planning_numbers",
     oracle(
-        """SELECT source_row_no, CASE l_partkey % 4 WHEN 0 THEN price WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE qty END::DECIMAL(28,10) AS required_or_null,
-  CASE l_partkey % 4 WHEN 0 THEN price WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE qty END::DECIMAL(28,10) AS blank_zero, l_partkey % 4 = 2 AS invalid,
-  CASE l_partkey % 4 WHEN 0 THEN rtrim(rtrim(price::VARCHAR, '0'), '.') WHEN 3 THEN rtrim(rtrim(qty::VARCHAR, '0'), '.') END AS canonical FROM numbered"""
+        """SELECT source_row_no, number AS quantity, CASE WHEN l_partkey % 8 = 1 THEN 0 ELSE number END AS or_zero, l_partkey % 8 = 2 AS invalid, l_partkey % 8 = 6 AS wide,
+  CASE WHEN l_partkey % 8 NOT IN (1, 2) THEN l_partkey % 8 = 4 END AS negative,
+  CASE l_partkey % 8 WHEN 0 THEN rtrim(rtrim(price::VARCHAR, '0'), '.') WHEN 3 THEN rtrim(rtrim(qty::VARCHAR, '0'), '.') WHEN 4 THEN '-0.0000000000000000001'
+    WHEN 5 THEN '15e-2147483649' WHEN 6 THEN '15e2147483646' WHEN 7 THEN qty || '00000000000000000123456789' END AS canonical FROM feed_numbers""",
+        _FEED_NUMBERS,
     ),
 )
 def planning_numbers(spark, sf_dir):
-    turn = F.col("l_partkey") % 4
-    raw = F.when(turn == 0, F.format_number("price", 2)).when(turn == 1, F.lit("  ")).when(turn == 2, F.lit("1,2x")).otherwise(F.col("qty").cast("string"))
-    return data.lines(spark, sf_dir).select(
+    """The functions the feeds use, extreme exponents and digits beyond the stored ones on a share of rows."""
+    turn = F.col("l_partkey") % 8
+    plain = F.col("qty").cast("string")
+    raw = (
+        F.when(turn == 0, F.format_number("price", 2))
+        .when(turn == 1, F.lit("  "))
+        .when(turn == 2, F.lit("1,2x"))
+        .when(turn == 4, F.lit("-1e-19"))
+        .when(turn == 5, F.lit("1.5e-2147483648"))
+        .when(turn == 6, F.lit("1.50e2147483647"))
+        .when(turn == 7, F.concat(plain, F.lit("00000000000000000123456789")))
+        .otherwise(plain)
+    )
+    rows = data.lines(spark, sf_dir).select("source_row_no", raw.alias("raw"))
+    canonical = rows.select(
         "source_row_no",
-        numbers.planning_number(raw).alias("required_or_null"),
-        numbers.blank_is_zero(raw).alias("blank_zero"),
-        numbers.number_invalid(raw).alias("invalid"),
-        numbers.decimal_text(raw).alias("canonical"),
+        numbers.feed_quantity("raw").alias("quantity"),
+        numbers.feed_quantity_or_zero("raw").alias("or_zero"),
+        F.coalesce(numbers.number_invalid("raw"), F.lit(False)).alias("invalid"),
+        F.coalesce(numbers.not_storable("raw"), F.lit(False)).alias("wide"),
+        numbers.decimal_text("raw").alias("canonical"),
     )
+    return canonical.withColumn("negative", numbers.is_negative("canonical"))
 
 
 @query(
     "order_quantities",
     oracle(
-        """SELECT source_row_no, CASE WHEN l_partkey % 3 = 0 THEN qty WHEN l_partkey % 3 = 1 THEN NULL ELSE qty END::DECIMAL(18,3) AS order_qty,
-  CASE WHEN l_partkey % 3 = 1 THEN NULL ELSE qty END::DECIMAL(28,10) AS forecast_qty FROM numbered"""
+        """SELECT source_row_no, CASE WHEN l_partkey % 6 IN (0, 2, 3, 5) THEN qty END::DECIMAL(18,3) AS order_qty, l_partkey % 6 IN (0, 2, 3, 4, 5) AS forecast_valid FROM numbered"""
     ),
 )
 def order_quantities(spark, sf_dir):
-    raw = F.when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("-"), F.col("qty").cast("string"))).otherwise(F.col("qty").cast("string"))
-    return data.lines(spark, sf_dir).select("source_row_no", numbers.order_quantity(raw).alias("order_qty"), numbers.forecast_quantity(raw).alias("forecast_qty"))
+    turn, plain = F.col("l_partkey") % 6, F.col("qty").cast("string")
+    raw = F.when(turn == 1, F.concat(F.lit("-"), plain, F.lit("e-2147483648"))).when(turn == 4, F.concat(plain, F.lit("e2147483647"))).otherwise(plain)
+    return data.lines(spark, sf_dir).select("source_row_no", numbers.order_quantity(raw).alias("order_qty"), numbers.forecast_valid(raw).alias("forecast_valid"))
 
 
 @query(

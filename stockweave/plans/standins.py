@@ -71,13 +71,15 @@ def region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers; every 53rd is missing, so some sales stay unassigned."""
-    source = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 53 != 0)
+    """Customers; every 53rd has another code and name than its sales, so these stay unassigned."""
+    source = table(spark, sf_dir, "customer")
+    moved = F.col("c_custkey") % 53 == 0
+    name = F.when(moved, F.concat(F.lit("Formerly "), "c_name")).otherwise(F.col("c_name"))
     return source.select(
         (F.col("c_custkey") + 1).alias("customer_id"),
-        stable_id("CUSTOMER", identity_key("customer_code_name", "c_custkey", "c_name")).alias("customer_stable_id"),
-        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("customer_code"),
-        F.col("c_name").alias("customer_name"),
+        stable_id("CUSTOMER", identity_key("customer_code_name", "c_custkey", name)).alias("customer_stable_id"),
+        F.concat(F.when(moved, "OLD-").otherwise("C"), F.col("c_custkey").cast("string")).alias("customer_code"),
+        name.alias("customer_name"),
         digest_id(F.col("c_mktsegment")).alias("channel_id"),
         (F.col("c_nationkey") + 1).cast("bigint").alias("salesrep_id"),
         F.when(F.col("c_custkey") % 37 == 0, "INACTIVE").otherwise("ACTIVE").alias("customer_status"),
@@ -98,10 +100,10 @@ def product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sku(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SKUs with holes: missing codes (97), no product (89), two codes that
+    """SKUs with holes: codes nothing is sold under (97), no product (89), two codes that
     differ in edge spaces only (83), one code with an edge space (79)."""
-    part = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 97 != 0)
-    code = F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string"))
+    part = table(spark, sf_dir, "part")
+    code = F.concat(F.when(F.col("p_partkey") % 97 == 0, "RETIRED-").otherwise("SKU-"), F.col("p_partkey").cast("string"))
     codes = (
         F.when(F.col("p_partkey") % 83 == 0, F.array(F.concat(F.lit(" "), code), F.concat(code, F.lit(" "))))
         .when(F.col("p_partkey") % 79 == 0, F.array(F.concat(code, F.lit(" "))))
@@ -124,11 +126,9 @@ def sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warehouse_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("s_suppkey") % 5
     status = F.when(turn == 0, "IN_TRANSIT").when(turn == 1, "NON_SELLABLE").otherwise("PLANNING_AVAILABLE")
-    return (
-        table(spark, sf_dir, "supplier")
-        .filter(turn != 2)
-        .select(F.lit(POLICY_VERSION).alias("policy_version"), F.col("s_name").alias("warehouse_name"), status.alias("planning_status"))
-    )
+    # two of ten warehouses go by another name, so their stock is unclassified
+    name = F.when(turn == 2, F.concat(F.lit("Closed "), "s_name")).otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select(F.lit(POLICY_VERSION).alias("policy_version"), name.alias("warehouse_name"), status.alias("planning_status"))
 
 
 # --- sales feed ------------------------------------------------------------
@@ -206,7 +206,8 @@ def raw_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("STANDARD").alias("product_type"),
         F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku_code"),
         F.when(turn == 7, F.repeat(F.lit("x"), 256)).otherwise(F.lit("Item")).alias("sku_name"),
-        F.when(turn == 8, F.lit("1.00001")).when(turn == 9, F.lit("1e3")).when(turn == 10, F.lit("")).otherwise(quantity).alias("quantity"),
+        F.when(turn == 8, F.lit("1.00001")).when(turn == 9, F.lit("1e3")).when(turn == 10, F.lit(""))
+        .when(turn == 11, F.lit("1.5e-2147483648")).when(turn == 12, F.lit("1.50e2147483647")).otherwise(quantity).alias("quantity"),
     )
 
 
@@ -310,28 +311,29 @@ m_salesrep AS (
   SELECT CAST(n_nationkey + 1 AS BIGINT) AS salesrep_id, 'E' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS salesrep_code,
     n_name AS salesrep_name, CASE WHEN n_nationkey % 11 = 5 THEN 'INACTIVE' ELSE 'ACTIVE' END AS salesrep_status FROM nation),
 m_customer AS (
-  SELECT c_custkey + 1 AS customer_id, 'C' || c_custkey AS customer_code, c_name AS customer_name,
+  SELECT c_custkey + 1 AS customer_id, CASE WHEN c_custkey % 53 = 0 THEN 'OLD-' ELSE 'C' END || c_custkey AS customer_code,
+    CASE WHEN c_custkey % 53 = 0 THEN 'Formerly ' ELSE '' END || c_name AS customer_name,
     CAST('0x' || substr(md5(c_mktsegment), 1, 12) AS BIGINT) AS channel_id, CAST(c_nationkey + 1 AS BIGINT) AS salesrep_id,
     CASE WHEN c_custkey % 37 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS customer_status
-  FROM customer WHERE c_custkey % 53 <> 0),
+  FROM customer),
 m_product AS (
   SELECT CAST('0x' || substr(md5(p_brand || '|' || p_type), 1, 12) AS BIGINT) AS product_id,
     substr(p_brand, 7, 3) || '-' || substr(p_type, 1, 3) AS product_code, p_brand || ' ' || p_type AS product_name,
     p_brand AS brand, CASE WHEN p_brand = 'Brand#13' THEN 'INACTIVE' ELSE 'ACTIVE' END AS product_status
   FROM (SELECT DISTINCT p_brand, p_type FROM part)),
+based AS (SELECT *, CASE WHEN p_partkey % 97 = 0 THEN 'RETIRED-' ELSE 'SKU-' END || p_partkey AS base FROM part),
 m_sku AS (
   SELECT p_partkey * 2 + copy + 1 AS sku_id, code AS sku_code, p_name AS sku_name,
     CASE WHEN p_partkey % 89 <> 0 THEN CAST('0x' || substr(md5(p_brand || '|' || p_type), 1, 12) AS BIGINT) END AS product_id,
     CASE WHEN p_partkey % 61 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS sku_status,
     p_type AS category_l1, p_brand AS brand, CAST(p_size AS DECIMAL(12,3)) AS case_pack, p_partkey AS partkey
   FROM (
-    SELECT *, 0 AS copy, CASE WHEN p_partkey % 83 = 0 THEN ' SKU-' || p_partkey WHEN p_partkey % 79 = 0
-      THEN 'SKU-' || p_partkey || ' ' ELSE 'SKU-' || p_partkey END AS code FROM part WHERE p_partkey % 97 <> 0
+    SELECT *, 0 AS copy, CASE WHEN p_partkey % 83 = 0 THEN ' ' || base WHEN p_partkey % 79 = 0 THEN base || ' ' ELSE base END AS code FROM based
     UNION ALL
-    SELECT *, 1 AS copy, 'SKU-' || p_partkey || ' ' AS code FROM part WHERE p_partkey % 97 <> 0 AND p_partkey % 83 = 0)),
+    SELECT *, 1 AS copy, base || ' ' AS code FROM based WHERE p_partkey % 83 = 0)),
 policy AS (
-  SELECT s_name AS warehouse_name, CASE s_suppkey % 5 WHEN 0 THEN 'IN_TRANSIT' WHEN 1 THEN 'NON_SELLABLE'
-    ELSE 'PLANNING_AVAILABLE' END AS planning_status FROM supplier WHERE s_suppkey % 5 <> 2),
+  SELECT CASE WHEN s_suppkey % 5 = 2 THEN 'Closed ' ELSE '' END || s_name AS warehouse_name, CASE s_suppkey % 5 WHEN 0 THEN 'IN_TRANSIT' WHEN 1 THEN 'NON_SELLABLE'
+    ELSE 'PLANNING_AVAILABLE' END AS planning_status FROM supplier),
 sales AS (
   SELECT source_row_no, CAST(l_orderkey AS VARCHAR) AS source_document_no, CAST(l_linenumber AS VARCHAR) AS source_line_no,
     ship_date AS sales_date, c_name AS source_customer_name,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.functions import dates, numbers, text
+from stockweave.sources.records import read_records
 
 
 @dataclass(frozen=True)
@@ -227,25 +228,20 @@ def scan_parquet(spark: SparkSession, path: str, header_rows: int = 1) -> DataFr
 
 
 def scan_delimited(spark: SparkSession, path: str, headers: Sequence[str], separator: str = ",", header_row: int = 1) -> DataFrame:
-    """Delimited export read as strings with its file name.
+    """Delimited export read as strings with its file name and row number.
 
-    The first ``header_row`` lines of every file go by their place, whatever
-    they hold: a file's first split starts at byte 0, and lines of a split are
-    numbered in order. No data cell is looked at, so a blank cell or a line that
-    repeats the header stays a row; only wholly blank lines are left out.
+    Records are told apart by the state of quoted cells (:mod:`records`), so a
+    cell may hold line breaks, at the border of two splits too. The first
+    ``header_row`` records of every file go by their place, whatever they hold.
+    No data cell is looked at, so a blank cell or a record that repeats the
+    header stays a row; only wholly blank records are left out.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    first = lines.filter(F.col("_block") == 0).groupBy("_path").agg(F.min("_line").alias("_first"))
-    above = (F.col("_block") == 0) & (F.col("_line") - F.col("_first") < header_row)
-    body = lines.join(first, "_path", "left").filter(~F.coalesce(above, F.lit(False)) & (F.trim("value") != ""))
+    body = read_records(spark, path, separator).filter((F.col("record_no") > header_row) & (F.trim("value") != ""))
     schema = ", ".join(f"`{h}` string" for h in headers)
-    return body.select(F.from_csv("value", F.lit(schema), {"sep": separator}).alias("_cells"), "source_file").select("_cells.*", "source_file")
+    # the number of characters in a cell is not limited; quotes are doubled, a backslash is a character
+    options = {"sep": separator, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    cells = F.from_csv("value", F.lit(schema), options).alias("_cells")
+    return body.select(cells, "source_file", F.col("record_no").alias("row_number")).select("_cells.*", "source_file", "row_number")
 
 
 def rows_after_header(raw: DataFrame, header_row: int) -> DataFrame:
@@ -341,18 +337,20 @@ def product_sheets(headers: DataFrame) -> DataFrame:
 # --- merged cells ----------------------------------------------------------
 
 
-def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+def fill_merged(cells: DataFrame, ranges: DataFrame, band: int = 256) -> DataFrame:
     """Every cell of a merged range takes the range's value.
 
     ``cells``: sheet, row, column, value. ``ranges``: sheet, r0, r1, c0, c1,
-    value. A range is one row for each of its columns, joined by column and row
-    interval, so its height costs nothing.
+    value; ranges of a sheet do not overlap. A range is one row for each of its
+    columns and bands of ``band`` rows, and a cell meets the ranges of its own
+    band only: at most ``band`` of them, however many a column has.
     """
-    columns = ranges.withColumn("_c", F.explode(F.sequence("c0", "c1"))).select(
-        F.col("sheet").alias("_s"), "_c", "r0", "r1", F.struct(F.col("value").alias("v")).alias("_merged")
-    )
-    inside = (F.col("sheet") == F.col("_s")) & (F.col("column") == F.col("_c")) & F.col("row").between(F.col("r0"), F.col("r1"))
-    joined = cells.join(columns, inside, "left")
+    pieces = ranges.withColumn("_c", F.explode(F.sequence("c0", "c1")))
+    pieces = pieces.withColumn("_b", F.explode(F.sequence(F.floor(F.col("r0") / band), F.floor(F.col("r1") / band))))
+    pieces = pieces.select(F.col("sheet").alias("_s"), "_c", "_b", "r0", "r1", F.struct(F.col("value").alias("v")).alias("_merged"))
+    placed = cells.withColumn("_band", F.floor(F.col("row") / band))
+    inside = (F.col("sheet") == F.col("_s")) & (F.col("column") == F.col("_c")) & (F.col("_band") == F.col("_b")) & F.col("row").between(F.col("r0"), F.col("r1"))
+    joined = placed.join(pieces, inside, "left")
     value = F.when(F.col("_merged").isNotNull(), F.col("_merged.v")).otherwise(F.col("value"))
     return joined.select("sheet", "row", "column", value.alias("value"))
 

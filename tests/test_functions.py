@@ -54,8 +54,8 @@ def test_dates(run):
 
 
 def test_planning_numbers(run):
-    assert run(numbers.planning_number, ["1,234.5", "", "x"]) == [Decimal("1234.5"), None, None]
-    assert run(numbers.blank_is_zero, ["", "3", "x"]) == [Decimal(0), Decimal(3), None]
+    assert run(numbers.feed_quantity, ["1,234.5", "", "x"]) == [Decimal("1234.5"), None, None]
+    assert run(numbers.feed_quantity_or_zero, ["", "3", "x"]) == [Decimal(0), Decimal(3), None]
     assert run(numbers.decimal_text, ["1,000.500", "1e2", "0.0", "-3.10"]) == ["1000.5", "100", "0", "-3.1"]
     assert run(numbers.order_quantity, ["1.0005", "-1", "2.5"]) == [None, None, Decimal("2.5")]
 
@@ -86,14 +86,43 @@ def test_codes(spark):
 
 
 def test_numbers_are_never_rounded(spark):
-    texts = ["-0.00000000004", "1e18", "1,000", "0.12345678901", "-0", "x", "1.50", "12e-3", "+7."]
+    texts = ["-0.00000000004", "1e18", "1,000", "0.12345678901", "-0", "x", "1.50", "12e-3", "+7.", "1.5e-2147483648", "-1.50e2147483647", "1e99999999999999999", "1e999999999999999999999", "-1e-19"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {r.t: r for r in rows.select("t", numbers.forecast_quantity("t").alias("f"), numbers.planning_number("t").alias("p"), numbers.decimal_text("t").alias("d")).collect()}
-    assert got["-0.00000000004"].f is None and got["-0.00000000004"].p is None and got["-0.00000000004"].d == "-0.00000000004"
-    assert got["1e18"].f == got["1e18"].p == 10**18 and got["1e18"].d == "1" + "0" * 18
-    assert got["1,000"].p == 1000 and got["0.12345678901"].p is None and got["0.12345678901"].d == "0.12345678901"
-    assert got["-0"].d == "0" and got["-0"].f == 0 and got["x"].d is None
-    assert [got[t].d for t in ("1.50", "12e-3", "+7.")] == ["1.5", "0.012", "7"]
+    text = numbers.decimal_text("t")
+    got = {r.t: r for r in rows.select("t", text.alias("d"), numbers.is_negative(text).alias("n"), numbers.forecast_valid("t").alias("f"), numbers.sales_quantity("t").alias("s"), numbers.number_invalid("t").alias("bad")).collect()}
+    assert [got[t].d for t in texts] == [
+        "-0.00000000004", "1" + "0" * 18, "1000", "0.12345678901", "0", None, "1.5", "0.012", "7", "15e-2147483649", "-15e2147483646", "1e99999999999999999", None, "-0.0000000000000000001"]
+    assert [t for t in texts if got[t].n] == ["-0.00000000004", "-1.50e2147483647", "-1e-19"]
+    assert [t for t in texts if got[t].bad] == ["x", "1e999999999999999999999"]
+    assert [t for t in texts if got[t].f] == ["1e18", "0.12345678901", "-0", "1.50", "12e-3", "+7.", "1.5e-2147483648", "1e99999999999999999"]
+    assert got["1.5e-2147483648"].s is None and got["-1.50e2147483647"].s is None and got["1.50"].s == Decimal("1.5")
+
+
+def test_balance_is_exact(spark):
+    import random
+    from fractions import Fraction
+
+    rng, rows = random.Random(6), []
+    for _ in range(300):
+        number = lambda: f"{rng.choice(['', '-'])}{rng.randint(0, 10 ** rng.choice([1, 3, 20, 40]))}.{rng.randint(1, 10 ** rng.choice([1, 18, 19, 45]))}"
+        a, b, c = number(), number(), number()
+        total = Fraction(a) + Fraction(b) - Fraction(c)
+        digits = len(a.split(".")[1] + b.split(".")[1] + c.split(".")[1])
+        scaled = str(abs(int(total * 10**digits))).rjust(digits + 1, "0")
+        d = ("-" if total < 0 else "") + scaled[:-digits] + "." + scaled[-digits:]
+        rows.append((a, b, c, d, True))
+        rows.append((a, b, c, d[:-1] + str((int(d[-1]) + 1) % 10), False))
+    rows += [("1e20000", "5", "5", "1e20000", True), ("1e20000", "5", "5", "2e20000", False), ("0", "0", "0", "0", True), ("1", None, "1", "0", None)]
+    frame = spark.createDataFrame(rows, "a string, b string, c string, d string, want boolean")
+    got = frame.select("want", numbers.balanced([F.col("a"), F.col("b")], [F.col("c"), F.col("d")]).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_edge_spaces(run):
+    for space in text.SPACES:
+        assert run(text.strip, [f"{space}a{space}b{space}{space}"]) == [f"a{space}b"]
+        assert run(text.squeeze, [f"{space}a{space}{space}b{space}"]) == ["a b"]
+    assert len(text.SPACES) == 29 and run(text.strip, ["\u200bx", " ", ""]) == ["\u200bx", "", ""]
 
 
 def test_numbers_are_valid_by_shape(spark):

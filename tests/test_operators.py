@@ -168,6 +168,35 @@ def test_delimited_rows_go_by_place(spark, tmp_path):
     assert sorted((r.source_file, r.code, r.ending) for r in rows) == [("a.csv", "1", "5"), ("a.csv", "2", None), ("a.csv", "3", None), ("a.csv", "code", "ending"), ("b.csv", "4", "1")]
 
 
+def test_records_across_splits(spark, tmp_path):
+    """Quoted cells with breaks, doubled quotes and stray quotes; splits of a few bytes put their borders everywhere."""
+    import csv
+    import io
+    import random
+
+    rng, wanted = random.Random(9), []
+    pieces = ["a", "b c", "\n", "\n\n", '"', '""', ",", "\\", "\\n", "长", " ", "x" * 40, "\r\n"]
+    for f in range(3):
+        rows = [["h"] * 3] + [["".join(rng.choice(pieces) for _ in range(rng.randint(0, 4))) for _ in range(3)] for _ in range(60)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"])).writerows(rows)
+        text_ = out.getvalue() + '5" pipe,b"c,d\n"x",e" f,g\n'
+        (tmp_path / f"f{f}.csv").write_bytes(text_.encode())
+        rows += [['5" pipe', 'b"c', "d"], ["x", 'e" f', "g"]]
+        wanted += [(f"f{f}.csv", i, *[c or None for c in r]) for i, r in enumerate(rows, 1) if i > 1 and any(r) and not (len("".join(r)) == 0)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("37", "300", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            rows = contracts.scan_delimited(spark, str(tmp_path), ["a", "b", "c"]).collect()
+            got = [(r.source_file, r.row_number, r.a, r.b, r.c) for r in rows if r.a or r.b or r.c]
+            assert sorted(got, key=str) == sorted(wanted, key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_inherited_quantities_stay_in_their_delivery(spark):
     rows = spark.createDataFrame([("f1", "Sheet1", "g", "o", "s", 1, 5), ("f2", "Sheet1", "g", "o", "s", 2, None)], "source_file string, source_sheet_name string, order_group string, order_no string, sku_code string, row_number bigint, order_qty int")
     assert {r.source_file: r.order_qty for r in planning_feeds.inherit_quantities(rows).collect()} == {"f1": 5, "f2": None}
