@@ -153,10 +153,13 @@ def unambiguous_revisions(revisions: DataFrame) -> DataFrame:
     ).select(*LOT, F.when(F.col("covering") == 1, F.col("_id")).alias("revision_id"))
 
 
-def eligible_revisions(revisions: DataFrame, cycles: DataFrame, bindings: DataFrame, versions: DataFrame) -> DataFrame:
-    """Revisions whose every source is bound whole and ends by T-1, per cycle.
+def eligible_revisions(revisions: DataFrame, sources: DataFrame, cycles: DataFrame, bindings: DataFrame, versions: DataFrame) -> DataFrame:
+    """Revisions whose every source is bound whole and ends by T-1, per cycle, with their ``source_count``.
 
-    A locked cycle ignores revisions created after its lock.
+    ``sources``: revision_id, version. A relational division: as many of a
+    revision's sources meet a usable version of the cycle as it has; no set is
+    gathered, and a revision without sources is none. A locked cycle ignores
+    revisions created after its lock.
     """
     inventory = versions.filter(F.col("dataset_type") == "INVENTORY").select(
         "dataset_version_id", F.col("period_start").alias("_vs"), F.col("period_end").alias("_ve")
@@ -169,12 +172,14 @@ def eligible_revisions(revisions: DataFrame, cycles: DataFrame, bindings: DataFr
         .select("cycle_id", F.col("dataset_version_id").alias("version"))
         .distinct()
     )
-    evidence = revisions.select("revision_id", F.explode("evidence").alias("version"))
-    hits = evidence.join(usable, "version").groupBy("cycle_id", "revision_id").agg(F.count(F.lit(1)).alias("_hits"))
+    used = sources.select("revision_id", "version").distinct()
+    needed = used.groupBy("revision_id").agg(F.count(F.lit(1)).alias("source_count"))
+    hits = used.join(usable, "version").groupBy("cycle_id", "revision_id").agg(F.count(F.lit(1)).alias("_hits"))
     lock = cycles.select("cycle_id", "status", "locked_at")
     return (
-        hits.join(revisions, "revision_id")
-        .filter(F.col("_hits") == F.size("evidence"))
+        hits.join(needed, "revision_id")
+        .filter(F.col("_hits") == F.col("source_count"))
+        .join(revisions, "revision_id")
         .join(lock, "cycle_id")
         .filter((F.col("status") != "LOCKED") | (F.col("created_at") <= F.col("locked_at")))
         .drop("_hits", "status", "locked_at")
@@ -205,15 +210,16 @@ def lot_remaining(raw: DataFrame, product_month: DataFrame, *scope: str) -> Data
     return by_lot.join(agreeing.select(*scope, "product_id"), [*scope, "product_id"], "left_semi").drop("_p1", "_p2")
 
 
-def lot_details(eligible: DataFrame, versions: DataFrame, remaining: DataFrame | None = None) -> DataFrame:
+def lot_details(eligible: DataFrame, sources: DataFrame, versions: DataFrame, remaining: DataFrame | None = None) -> DataFrame:
     """Lots shown in a cycle: the unambiguous revision, or a marked gap."""
-    chosen_ids = _unambiguous_per_cycle(eligible)
+    chosen_ids = _unambiguous_per_cycle(eligible, sources)
     chosen = chosen_ids.join(eligible, ["cycle_id", *LOT, "revision_id"], "left")
-    seen = chosen.select("cycle_id", *LOT, F.explode("evidence").alias("dataset_version_id"))
+    seen = chosen.select("cycle_id", *LOT, "revision_id").join(sources.select("revision_id", F.col("version").alias("dataset_version_id")).distinct(), "revision_id")
+    # the shown list is one id for each source of one revision
     through = (
         seen.join(versions.select("dataset_version_id", "period_end"), "dataset_version_id")
         .groupBy("cycle_id", *LOT)
-        .agg(F.max("period_end").alias("observed_through"), F.array_sort(F.collect_set("dataset_version_id")).alias("source_version_ids"))
+        .agg(F.max("period_end").alias("observed_through"), F.array_sort(F.collect_list("dataset_version_id")).alias("source_version_ids"))
     )
     label = F.lit(AMBIGUOUS_LABEL)
     for state, text in LOT_LABELS.items():
@@ -239,10 +245,12 @@ def lot_details(eligible: DataFrame, versions: DataFrame, remaining: DataFrame |
     )
 
 
-def _unambiguous_per_cycle(eligible: DataFrame) -> DataFrame:
+def _unambiguous_per_cycle(eligible: DataFrame, sources: DataFrame) -> DataFrame:
+    """The one revision of a lot and cycle that has every source any of them has."""
     key = ["cycle_id", *LOT]
-    union = eligible.select(*key, F.explode("evidence").alias("version")).groupBy(*key).agg(F.count_distinct("version").alias("_all"))
-    marked = eligible.join(union, key).withColumn("_covers", F.size("evidence") == F.col("_all"))
+    used = eligible.select(*key, "revision_id").join(sources.select("revision_id", "version"), "revision_id")
+    union = used.groupBy(*key).agg(F.count_distinct("version").alias("_all"))
+    marked = eligible.join(union, key).withColumn("_covers", F.col("source_count") == F.col("_all"))
     return marked.groupBy(*key).agg(
         F.when(F.count_if("_covers") == 1, F.min(F.when(F.col("_covers"), F.col("revision_id")))).alias("revision_id")
     )
