@@ -312,7 +312,7 @@ def part_rows(spark, sf_dir):
         """, f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN (SELECT product_id FROM m_product WHERE product_code = '1-ECO') ELSE p.product_id END AS ref,
     CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN (SELECT product_status FROM m_product WHERE product_code = '1-ECO') ELSE p.product_status END AS ref_status, p.product_id AS own
   FROM part JOIN m_product p ON p.product_name = p_brand || ' ' || p_type),
-s AS (SELECT k, ref, ref_status, own, m.partkey IS NOT NULL AS known, m.product_id AS has, k % 11 = 3 AS other_name, k % 23 = 4 AS bad_date FROM f LEFT JOIN m_sku m ON m.partkey = k AND k % 83 <> 0),
+s AS (SELECT k, ref, ref_status, own, m.partkey IS NOT NULL AS known, m.product_id AS has, k % 11 = 3 AS other_name, k % 23 = 4 AS bad_date FROM f LEFT JOIN m_sku m ON m.partkey = k AND k % 83 <> 0 AND m.sku_code LIKE 'SKU-%'),
 j AS (SELECT *, ref IS NULL AS lost, ref IS NOT NULL AND ref_status <> 'ACTIVE' AS off, known AND ref IS NOT NULL AND ref_status = 'ACTIVE' AS judged FROM s),
 c AS (SELECT *, judged AND has IS DISTINCT FROM ref AS wrong, judged AND has IS NOT DISTINCT FROM ref AND other_name AS renamed, judged AND has IS NOT DISTINCT FROM ref AND NOT other_name AS same FROM j)
 SELECT k AS row_number, CASE WHEN lost OR off OR wrong OR renamed OR bad_date THEN 'ERROR' WHEN same THEN 'EXISTING' ELSE 'VALID' END AS status,
@@ -385,7 +385,7 @@ def goods_plans(spark, sf_dir):
 
 _GOODS_ROWS = """goods AS (SELECT k, g.sku_code, plan_action, plan_problem, plan_name, dup, m.sku_id IS NOT NULL AND plan_problem IS DISTINCT FROM 'MDM_IMPORT_INACTIVE_REFERENCE' AS judged,
   plan_action = 'CREATE' OR m.product_id IS DISTINCT FROM plan_product_id AS wrong FROM (SELECT *, count(*) OVER (PARTITION BY lower(sku_code)) > 1 AS dup FROM g) g
-  JOIN plan ON plan_key = lower(code) LEFT JOIN m_sku m ON m.partkey = k AND g.sku_code = 'SKU-' || k AND k % 83 <> 0)"""
+  JOIN plan ON plan_key = lower(code) LEFT JOIN m_sku m ON m.partkey = k AND g.sku_code = 'SKU-' || k AND k % 83 <> 0 AND m.sku_code LIKE 'SKU-%')"""
 
 
 @query(
