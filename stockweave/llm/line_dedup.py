@@ -1,8 +1,8 @@
 """Line dedup: explode normalised lines, hash, count documents per hash, drop frequent lines, reassemble by position.
 
-A text is split at \\n; null or empty text is one empty line. A line's key is the line without `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased; keys with fewer than `min_chars` code points are never dropped. A key found in at least `min_docs` rows loses all its lines everywhere. A row is a document: repeated rows count each and each get the same result. Null doc_ids are kept and matched to themselves. All other columns stay as they are.
+A text is split at \\n; null or empty text is one empty line. A line's key is the line without `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased; keys with fewer than `min_chars` code points are never dropped. A key found in at least `min_docs` distinct documents, told by doc_id, loses all its lines everywhere. Repeated rows and rows that share a doc_id count once for a key and each get the same result; rows with a null doc_id count as one document and are matched to themselves. All other columns stay as they are. Very long texts are worked on whole; an empty table gives an empty result.
 
-Plan: each document sends one row per distinct key (128-bit hash, line numbers). Counting combines before the shuffle, so a line in a third of all documents is a few partial counts; its rows meet the frequent keys in a plain join, which the skew join may split. Texts are shuffled once, to meet their own line numbers.
+Plan: each row sends one row per distinct key (128-bit hash, line numbers). Documents are first made distinct per key, dealt by key and document, so a line in a third of all documents or a document in a third of all rows is dealt out; then counts combine before they are shuffled. The lines meet the frequent keys in a plain join, which the skew join may split, and the line numbers of equal rows combine to one set before they are gathered. Texts are shuffled once, to meet their own line numbers.
 """
 
 from __future__ import annotations
@@ -56,9 +56,9 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
     """Adds to each document _line_kept (its text without frequent lines), _line_n and _line_dropped."""
     keyed = docs.withColumn("_line_hash", F.xxhash64("text"))
     lines = keyed.select("doc_id", F.col("_line_hash").alias("text_hash"), "text").mapInArrow(_exploded(min_chars), _LINES)
-    frequent = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
+    frequent = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
     frequent = written(frequent, "frequent-lines")  # read back as a table of its own, the join on a hot line can be split
-    hits = lines.join(frequent, ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_line_drop"))
+    hits = lines.join(frequent, ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("at")).alias("_line_drop"))
     hits = hits.withColumnsRenamed({"doc_id": "_line_doc", "text_hash": "_line_text"})
     joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_line_doc")) & (F.col("_line_hash") == F.col("_line_text")), "left")
     out = joined.withColumn("_line", F.pandas_udf(_without_lines, _KEPT)("text", "_line_drop"))

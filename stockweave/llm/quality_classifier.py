@@ -236,7 +236,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> Model:
     chosen = labelled.orderBy(F.xxhash64("doc_id", "y"), "doc_id").limit(max_rows)
     rows = docs.filter(usable).select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("k"))
     featured = lambda frame: frame.select("doc_id", "y", "k", "text", "source", "lang").mapInArrow(_featured, _FEATURES)
-    known = featured(rows.join(F.broadcast(chosen), "doc_id")).select("y", "k", "t", "m").collect()  # at most max_rows ids are sent
+    # at most max_rows ids are sent, and of ids in many rows as many different texts come back
+    taught = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "k", "y", "source", "lang"]).orderBy(F.xxhash64("doc_id", "k", "y"), "doc_id").limit(max_rows)
+    known = featured(taught).select("y", "k", "t", "m").collect()
     known.sort(key=lambda r: (r.k, r.t))
     marked = labelled.select("doc_id").distinct().withColumn("known", F.lit(True))
     pool = featured(rows.withColumn("y", F.lit(None).cast("int"))).join(marked, "doc_id", "left")

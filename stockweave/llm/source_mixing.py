@@ -74,9 +74,10 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, F.struct(F.array().cast(f"array<{_ITEM}>").alias("done"), F.lit(None).cast(_ITEM).alias("open")), step)
 
 
-def identity() -> list[Column]:
-    """Two hashes that tell rows apart by id, source and text; never null."""
-    return [F.xxhash64("doc_id", "source", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "source", "text").alias("k2")]
+def identity(*columns: str) -> list[Column]:
+    """Two hashes that tell rows apart by the columns (id, source and text by default); never null. A null is marked, so that it is no blank and moves no value to another column."""
+    marked = [c for name in columns or ("doc_id", "source", "text") for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    return [F.xxhash64(*marked).alias("k1"), F.xxhash64(F.lit(1), *marked).alias("k2")]
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0, block: int = 200, seed: int = 17) -> DataFrame:
@@ -122,10 +123,11 @@ def size_in_words() -> Column:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns and _mix_copies, _mix_size, _mix_taken, _mix_source_size and _mix_target. Rows that agree in id, source and text come back once, with the copies of all of them."""
-    rows = docs.select(*identity(), "doc_id", "source", size_in_words().alias("size"))
+    """The documents that the mix takes, with all their columns and _mix_copies, _mix_size, _mix_taken, _mix_source_size and _mix_target. Rows that agree in every column come back once, with the copies of all of them; rows that differ anywhere stay apart."""
+    own = identity(*[f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])
+    rows = docs.select(*own, "doc_id", "source", size_in_words().alias("size"))
     chosen = mix(rows, **options).filter("copies > 0").groupBy("k1", "k2").agg(F.sum("copies").alias("_mix_copies"), F.max("size").alias("_mix_size"), F.sum("taken").alias("_mix_taken"), F.max("source_size").alias("_mix_source_size"), F.max("target").alias("_mix_target"))
-    keyed = docs.select(*own_columns(docs.columns), *[k.alias(f"_mix_{n}") for k, n in zip(identity(), ("k1", "k2"), strict=True)])
+    keyed = docs.select(*own_columns(docs.columns), *[k.alias(f"_mix_{n}") for k, n in zip(own, ("k1", "k2"), strict=True)])
     chosen = chosen.withColumnsRenamed({"k1": "_mix_k1", "k2": "_mix_k2"})
     out = keyed.dropDuplicates(["_mix_k1", "_mix_k2"]).join(chosen, ["_mix_k1", "_mix_k2"])
     return out.select(*own_columns(docs.columns), "_mix_copies", "_mix_size", "_mix_taken", "_mix_source_size", "_mix_target")

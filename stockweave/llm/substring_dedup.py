@@ -1,10 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing: documents are factored against every indexed reference block, long factors become duplicate spans, and places where factors end are checked window by window.
+"""Substring dedup: documents are cut into blocks by least anchors, blocks that occur elsewhere as a whole are duplicate spans, and places where they end are checked window by window.
+
+This is not a greedy Lempel-Ziv parse: no longest match is searched and extended. A greedy factor ends where the reference it follows ends, and a window may be a duplicate across that place, so every such place would need the window check below anyway; cutting by anchors makes the cuts the same in all documents, so that no factor depends on where a parse began.
 
 A window is `window` consecutive words (words `[^\\x20\\x09-\\x0D]+`, unchanged). A word goes if a window that covers it also starts anywhere else, same document included; all windows are judged on the input.
 
-Parsing. Every window picks its least k-gram as anchor (the leftmost on ties), so equal windows have equal anchors at equal offsets. Neighbouring windows mostly share their anchor; the run of windows of one anchor, with the words they cover, is a block. Blocks are the reference: those whose anchor occurs nowhere else can't hold a duplicate and drop out. A document's factor is a sequence of blocks that each occur elsewhere as a whole: all its windows are duplicates. Where a block has a known anchor but occurs only once, a factor ends somewhere inside, and its windows are checked one by one against all windows of blocks with the same anchor; a block that repeats sends the windows of one occurrence only. So rows grow with blocks (one for about 14 words) and with the ends of factors, never with pairs of copies.
+Blocks. Every window picks its least k-gram as anchor (the leftmost on ties), so equal windows have equal anchors at equal offsets. Neighbouring windows mostly share their anchor; the run of windows of one anchor, with the words they cover, is a block. Blocks are the reference: those whose anchor occurs nowhere else can't hold a duplicate and drop out. Of a block that occurs elsewhere as a whole all windows are duplicates. Where a block has a known anchor but occurs only once, a common stretch ends somewhere inside, and its windows are checked one by one against all windows of blocks with the same anchor; a block that repeats sends the windows of one occurrence only. So rows grow with blocks (one for about 14 words) and with the ends of common stretches, never with pairs of copies.
 
-Equal blocks and windows are told by 128 bits. Counts combine before the shuffle and rows meet counts by plain joins, so a passage in a third of all documents is no hot task. Texts are shuffled once. Null text has no words; repeated rows are copies of each other and lose all words of their windows; null doc_ids match themselves; other columns stay.
+Equal blocks and windows are told by 128 bits. Counts combine before the shuffle and rows meet counts by plain joins, so a passage in a third of all documents is no hot task. Spans of equal rows combine to one set before they are gathered, so a row repeated m times costs m times its own spans, not their square. Texts are shuffled once. Null text has no words; very long texts are worked on whole and an empty table gives an empty result; repeated rows are copies of each other and lose all words of their windows; null doc_ids match themselves; other columns stay.
 """
 
 from __future__ import annotations
@@ -129,12 +131,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     several = several.join(written(counted, "block-counts"), ["anchor", "block"]).select(*_KEY, "lo", "hi", (F.col("n") == 1).alias("alone"), (mark == F.col("speaker")).alias("speaks"))
     several = written(several, "several-blocks")
     factors = shared.filter("same").select(*_KEY, "lo", "hi").unionByName(several.filter("not alone").select(*_KEY, "lo", "hi"))
-    factors = factors.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("_sub_factors"))
-    asked = several.filter("alone or speaks").groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("asked"))
+    factors = factors.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("_sub_factors"))
+    asked = several.filter("alone or speaks").groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi", "alone")).alias("asked"))
     windows = _with(texts, asked, "inner").select(*_KEY, "text", "asked").mapInArrow(_windows(window), _WINDOW)
     windows = written(windows, "windows")
     twice = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "repeated-windows")
-    single = windows.filter("start >= 0").join(twice, ["w1", "w2"]).groupBy(*_KEY).agg(F.collect_list("start").alias("_sub_singles"))
+    single = windows.filter("start >= 0").join(twice, ["w1", "w2"]).groupBy(*_KEY).agg(F.collect_set("start").alias("_sub_singles"))
     out = _with(_with(keyed, factors, "left"), single, "left")
     out = out.withColumn("_sub", F.pandas_udf(_kept(window), "kept string, n_words bigint, n_removed bigint")("text", "_sub_factors", "_sub_singles"))
     return out.select(*own_columns(docs.columns), F.col("_sub.kept").alias("_sub_kept"), F.col("_sub.n_words").alias("_sub_words"), F.col("_sub.n_removed").alias("_sub_removed"))

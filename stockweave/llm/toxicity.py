@@ -7,7 +7,7 @@ A text is read as lower-case letter runs and clause marks. Transducers run in co
 * target: a match with a person named in the same clause counts as targeted.
 Their product is one table: (state, class) -> (next state, channel). A clause without a match costs nothing and scores nothing; so no word counts alone: its clause decides the channel its weight goes to.
 
-Insults are learned: word forms and stems (3 to 8 letters) whose document frequency among toxic training rows stands out (log-likelihood ratio), at most `max_entries`. The weights of the channels are learned too, from priors that let negated and reported matches count less and targeted ones more. Training reads at most `max_rows` labelled rows, those with the least hashes; their words are counted by Spark.
+Insults are learned: word forms and stems (3 to 8 letters) whose document frequency among toxic training rows stands out (log-likelihood ratio). The weights of the channels are learned too, from priors that let negated and reported matches count less and targeted ones more. Training reads at most `max_rows` labelled rows, those with the least hashes; their words are counted by Spark.
 
 Null and empty texts have no match and get the score of a text without any. Rows are scored one by one, so repeated rows agree; null labels are no labels; a doc_id with several labels gives several training rows; a null doc_id is never a label and not held out. Without training rows every score is 0.5's smoothed share and only fixed words match. Inputs of a score: the text.
 """
@@ -129,11 +129,13 @@ def held_out(parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entries: int = 5_000, least_ratio: float = 25.0) -> tuple[Grammar, np.ndarray]:
-    """Grammar and channel weights from (doc_id, toxic) rows that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_ratio: float = 25.0) -> tuple[Grammar, np.ndarray]:
+    """Grammar and channel weights from (doc_id, toxic) rows that are not held out: at most max_rows of them, different in id or text. The lexicon has every feature of theirs that passes the ratio, so it is bounded by them too."""
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
     chosen = chosen.orderBy(F.xxhash64("doc_id", "toxic"), "doc_id").limit(max_rows)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-train")  # at most max_rows ids are sent
+    # at most max_rows ids are sent, and of ids in many rows as many different texts come back
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text", "toxic"])
+    rows = written(rows.orderBy(F.xxhash64("doc_id", "text", "toxic"), "doc_id").limit(max_rows).select("text", "toxic"), "toxic-train")
     total = rows.groupBy("toxic").count().collect()
     n = {r[0]: r[1] for r in total}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -144,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
     ratio = 2 * (xlog(F.col("pos"), share) + xlog(F.col("neg"), 1 - share))
     weight = F.log((F.col("pos") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("neg") + 0.5))
     found = counts.filter("pos >= 4").select("feature", ratio.alias("g"), weight.alias("w")).filter((F.col("g") >= least_ratio) & (F.col("w") > 1.5))
-    grammar = Grammar({r[0]: r[2] for r in found.orderBy(F.desc("g"), "feature").limit(max_entries).collect()})
+    grammar = Grammar({r[0]: r[2] for r in found.orderBy(F.desc("g"), "feature").collect()})
 
     def channels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

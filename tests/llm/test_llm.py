@@ -50,7 +50,7 @@ def test_line_dedup(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     lower = lambda x: x.translate({c: c + 32 for c in range(65, 91)})
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
-    df = Counter(k for r in rows for k in {key(x) for x in (r.text or "").split("\n")} if k)
+    df = Counter(k for _, k in {(r.doc_id, key(x)) for r in rows for x in (r.text or "").split("\n")} if k)
     kept = lambda t: "\n".join(x for x in (t or "").split("\n") if df[key(x)] < 10)
     got = line_dedup.clean_documents(docs)
     assert got.columns == docs.columns and line_dedup.clean_documents(empty).count() == 0
@@ -58,6 +58,32 @@ def test_line_dedup(docs, empty):
     assert "LINE" not in "".join(r.text for r in got.filter("doc_id >= 1000").collect())
 
 
+def test_repeated_rows_are_one_document(spark):
+    """One document in 3,000 rows keeps its only line; ten documents do not."""
+    rows = [(1, "Only here", "en", "a")] * 3000 + [(None, "nobody's", "en", "a")] * 30 + [(10 + i, "shared\nown", "en", "a") for i in range(10)]
+    got = Counter((r.doc_id, r.text) for r in line_dedup.clean_documents(table(spark, rows)).collect())
+    assert got == Counter([(1, "Only here")] * 3000 + [(None, "nobody's")] * 30 + [(10 + i, "") for i in range(10)])
+
+
+def test_substring_dedup_of_repeated_rows(spark):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    rows = [(1, text, "en", "a")] * 2500 + [(2 + i, text + " tail", "en", "a") for i in range(500)] + [(9000, "alone " * 3, "en", "a")]
+    out = substring_dedup.remove_repeats(table(spark, rows)).groupBy("doc_id", "_sub_kept", "_sub_removed").count().collect()
+    assert {(r.doc_id, r._sub_kept, r._sub_removed, r["count"]) for r in out} == {(1, "", 300, 2500), (9000, "alone alone alone", 0, 1)} | {(2 + i, "", 301, 1) for i in range(500)}
+
+
+def test_mixing_loses_no_row(spark):
+    """Nulls move nothing between columns; rows that differ in any column stay apart; equal rows come back once with all copies."""
+    frame = spark.createDataFrame([(1, None, "b", 1), (1, "b", None, 1), (1, "b", "x y", 1), (1, "b", "x y", 2), (1, "b", "x y", 2), (2, "b", "z " * 30, 3)], "doc_id bigint, source string, text string, other int")
+    chosen = source_mixing.mix(frame.select(*source_mixing.identity(), "doc_id", "source", source_mixing.size_in_words().alias("size")))
+    assert chosen.count() == 6
+    one = [source_mixing.identity()[i] for i in (0, 1)]
+    assert frame.filter("text is null or source is null").select(*one).distinct().count() == 2
+    out = source_mixing.mixed_documents(spark.createDataFrame([(i, "s", "a b c", j) for i in range(40) for j in (1, 1, 2)], "doc_id bigint, source string, text string, other int"))
+    assert out.agg(F.sum("_mix_copies")).first()[0] == 120 and out.groupBy("doc_id", "other").count().filter("count > 1").count() == 0 and out.count() == 80
+
+
 def repeated(words):
     seen = Counter(zip(words, words[1:], words[2:], strict=False))
     return len({j for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)})
@@ -292,8 +318,15 @@ def test_co_training_reads_the_whole_pool(spark):
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
-    frame, columns = docs, docs.columns
-    for _, stage in corpus_pipeline.STAGES:
-        frame = stage(spark, frame, "/root/testdata/sf0.001")
-        assert frame.columns[: len(columns)] == columns
-    assert frame.count() > 0
+    clean = " ".join(f"Plain{i} words{i} number stand{i} here{i}, calm{i} clear{i}." for i in range(20))
+    rows = [(1, clean, "en", "a")] * 4 + [(2, clean + " More.", "en", "b"), (3, None, None, None), (4, "", "en", "a"), (None, clean.replace("calm", "warm"), "en", None), (5, "x ### " * 300, "en", "a")]
+    for frame in (docs, table(spark, rows), table(spark, rows).filter("false")):
+        columns, sizes = frame.columns, [frame.count()]
+        for _, stage in corpus_pipeline.STAGES:
+            frame = stage(spark, frame, "/root/testdata/sf0.001")
+            assert frame.columns[: len(columns)] == columns
+            sizes.append(frame.count())
+        assert sizes == sorted(sizes, reverse=True) and (sizes[-1] > 0) == (sizes[0] > 0)
+        if sizes[0] == len(rows):
+            # junk and empty texts go, of the near copies document 1 stays, and its four equal rows come back once
+            assert sizes[1:] == [6, 6, 5, 5, 2] and {r.doc_id for r in frame.collect()} == {1, None}
