@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate join, benchmark decontamination, mixing to target weights.
 
 Every stage takes (spark, docs, sf_dir) and returns documents with the columns of its input; the last one adds how often the mix takes each. A stage works on all that the one before it kept.
+
+Null columns, empty and very long texts, ties and repeated rows have the results that the operators state: rows without text fail the quality rules, rows of equal text are one group of near copies of which those of the smallest id stay, the mix returns rows that agree in every column once with their copies added up. An empty table gives an empty result at every stage, and extra columns, whatever their names, stay to the end.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ STAGES = [
     ("benchmark decontamination", benchmark),
     ("mixing sources", mixture),
 ]
-#: Components, fingerprints and dependent rounding are beyond SQL; tests hold each stage against a brute-force version.
+#: Components, fingerprints and dependent rounding are beyond SQL. The tests hold line dedup, the join, decontamination and the sums and bounds of the mix against brute force, the quality rules against SQL, and run the stages on hard tables.
 ORACLE_SQL = None
 
 
