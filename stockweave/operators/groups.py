@@ -11,8 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockweave.sources.staging import stage
+
 SALTS = 8
 BLOCK_ROWS = 100_000
+#: Blocks that one window over block summaries sees.
+FAN = 1_000
+#: From this offset on a page is cut out of a sorted table instead of sorting up to it in one task.
+DEEP = 10_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -64,13 +70,36 @@ def _blocks(rows: DataFrame, order: str, block_rows: int) -> DataFrame:
     return rows.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)).cast("bigint"))
 
 
+def _scan_blocks(ends: DataFrame, keys: Sequence[str], columns: dict[str, str], ahead: bool) -> DataFrame:
+    """Per (group, block) what earlier blocks end with, or what the next block begins with.
+
+    ``columns``: value column -> result name. A prefix scan as a tree: inside a
+    run of ``FAN`` blocks a window carries, and one row per run is carried over
+    the runs. A group of 10^12 rows has 10^7 blocks and 10^4 runs, and no
+    window sees more than that.
+    """
+    runs = ends.withColumn("_run", F.floor(F.col("_block") / F.lit(FAN)).cast("bigint"))
+    inside, across = (Window.partitionBy(*keys, *more).orderBy(by) for more, by in ((["_run"], "_block"), ([], "_run")))
+    if ahead:
+        near = {f"_n_{c}": F.lead(c, 1).over(inside) for c in columns}
+        tops = runs.groupBy(*keys, "_run").agg(*[F.min_by(c, "_block").alias(f"_t_{c}") for c in columns])
+        far = {f"_t_{c}": F.lead(f"_t_{c}", 1).over(across) for c in columns}
+    else:
+        before = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+        near = {f"_n_{c}": F.last(c, ignorenulls=True).over(before(inside)) for c in columns}
+        tops = runs.groupBy(*keys, "_run").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_block"))).alias(f"_t_{c}") for c in columns])
+        far = {f"_t_{c}": F.last(f"_t_{c}", ignorenulls=True).over(before(across)) for c in columns}
+    joined = join_null_safe(runs.withColumns(near), tops.withColumns(far), [*keys, "_run"])
+    return joined.select(*keys, "_block", *[F.coalesce(f"_n_{c}", f"_t_{c}").alias(name) for c, name in columns.items()])
+
+
 def fill_forward(
     rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Each NULL takes the last earlier value of its group, in ``order``.
 
-    Inside a block a window fills; the last values of earlier blocks come from
-    one aggregate row per (group, block). ``order`` is an integer row number.
+    Inside a block a window fills; the last values of earlier blocks are carried
+    over one row per (group, block). ``order`` is an integer row number.
     """
     blocked = _blocks(rows, order, block_rows)
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,8 +107,7 @@ def fill_forward(
     ends = blocked.groupBy(*keys, "_block").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_c_{c}") for c in columns]
     )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumns({f"_c_{c}": F.last(f"_c_{c}", ignorenulls=True).over(before) for c in columns})
+    carried = _scan_blocks(ends, keys, {f"_c_{c}": f"_c_{c}" for c in columns}, ahead=False)
     joined = join_null_safe(filled, carried, [*keys, "_block"])
     return joined.withColumns({c: F.coalesce(f"_f_{c}", f"_c_{c}") for c in columns}).select(*rows.columns)
 
@@ -93,8 +121,7 @@ def next_in_group(
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     led = blocked.withColumn("_in", F.lead(value, 1).over(inside))
     heads = blocked.groupBy(*keys, "_block").agg(F.min_by(value, F.col(order)).alias("_head"))
-    across = Window.partitionBy(*keys).orderBy("_block")
-    following = heads.select(*keys, "_block", F.lead("_head", 1).over(across).alias("_next"))
+    following = _scan_blocks(heads, keys, {"_head": "_next"}, ahead=True)
     joined = join_null_safe(led, following, [*keys, "_block"])
     return joined.withColumn(name, F.coalesce("_in", "_next")["v"]).select(*rows.columns, name)
 
@@ -106,7 +133,38 @@ def scope_totals(grouped: DataFrame, scope: Sequence[str], measure: str) -> Data
 
 
 def page(rows: DataFrame, order: Sequence[Column], page_no: int, page_size: int) -> DataFrame:
-    """One page of a totally ordered result."""
+    """One page of a totally ordered result; deep pages are cut out of a sorted table."""
     if page_no < 1 or not 1 <= page_size <= 500:
         raise ValueError("page starts at 1, page size is 1 to 500")
-    return rows.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
+    offset = (page_no - 1) * page_size
+    if offset >= DEEP:
+        return PagedTable(rows, order).page(page_no, page_size)
+    return rows.orderBy(*order).offset(offset).limit(page_size)
+
+
+class PagedTable:
+    """A result dealt by range of its order and written once, for pages at any depth.
+
+    The row counts of the ranges tell which of them hold a page; only those are
+    read and sorted, so page 10^6 costs what page 1 does. Counts of ranges, a
+    number per partition, are all that comes to the driver.
+    """
+
+    def __init__(self, rows: DataFrame, order: Sequence[Column], ranges: int | None = None):
+        spark = rows.sparkSession
+        self.order, self.columns = list(order), rows.columns
+        n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
+        dealt = rows.repartitionByRange(n, *self.order).withColumn("_range", F.spark_partition_id())
+        self.table = stage(dealt, partition_by="_range")
+        self.sizes = [(r[0], r[1]) for r in self.table.groupBy("_range").count().orderBy("_range").collect()]
+
+    def page(self, page_no: int, page_size: int) -> DataFrame:
+        begin = (page_no - 1) * page_size
+        end, seen, wanted, skipped = begin + page_size, 0, [], 0
+        for number, size in self.sizes:
+            if seen < end and seen + size > begin:
+                wanted.append(number)
+                skipped = seen if len(wanted) == 1 else skipped
+            seen += size
+        kept = self.table.filter(F.col("_range").isin(*wanted)) if wanted else self.table.limit(0)
+        return kept.orderBy(*self.order).offset(begin - skipped if wanted else 0).limit(page_size).select(*self.columns)

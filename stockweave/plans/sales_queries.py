@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.operators import dashboard, resolution, sales_feed
+from stockweave.operators import dashboard, groups, resolution, sales_feed
 from stockweave.operators.findings import finding_counts, issue_index
 from stockweave.plans import standins as data
 from stockweave.plans.registry import query
@@ -333,3 +333,18 @@ def dashboard_summary_filtered(spark, sf_dir):
 )
 def filter_options(spark, sf_dir):
     return dashboard.filter_options(sales_fact(spark, sf_dir))
+
+
+@query(
+    "deep_row_page",
+    oracle(
+        """, numbered_rows AS (SELECT source_row_no, sales_date, actual_qty, row_number() OVER (ORDER BY sales_date DESC, source_row_no) AS n, count(*) OVER () AS total FROM sales)
+SELECT source_row_no, sales_date, actual_qty FROM numbered_rows WHERE n > 2990 AND n <= 3000 OR n > 55000 AND n <= 55500 OR n > total // 500 * 500"""
+    ),
+)
+def deep_row_page(spark, sf_dir):
+    """Pages 300 of ten rows, 111 of 500 and the last of 500 of all sales, newest first, from one sorted table."""
+    rows = data.sales_rows(spark, sf_dir).select("source_row_no", "sales_date", "actual_qty")
+    paged = groups.PagedTable(rows, [F.col("sales_date").desc(), F.col("source_row_no").asc()])
+    total = sum(size for _, size in paged.sizes)
+    return paged.page(300, 10).unionByName(paged.page(111, 500)).unionByName(paged.page(total // 500 + 1, 500)).distinct()

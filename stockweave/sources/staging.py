@@ -26,8 +26,9 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(frame: DataFrame) -> DataFrame:
+def stage(frame: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    frame.write.mode("errorifexists").parquet(path)
+    writer = frame.write.mode("errorifexists")
+    (writer if partition_by is None else writer.partitionBy(partition_by)).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -242,3 +242,51 @@ def test_republish_changes_nothing(spark):
     assert {(r.batch_id, r.status, r.replaced_by_batch_id) for r in once.collect()} == {("a", "PUBLISHED", "b"), ("b", "PUBLISHED", None)}
     twice = publishing.apply_lineage(once, once.filter("batch_id = 'b'"), F.lit("t2"))
     assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
+
+
+def test_carry_over_runs_of_blocks(spark, monkeypatch):
+    """Blocks of two rows and runs of three blocks: values cross every border, one group has nearly all rows, keys may be null."""
+    import random
+
+    rng = random.Random(12)
+    monkeypatch.setattr(groups, "FAN", 3)
+    rows = [("big", i, rng.choice([None, None, None, i])) for i in range(400) if rng.random() < 0.8] + [(None, i, None if i else 5) for i in range(30)] + [("late", 999_983, 1), ("late", 7, None)]
+    got = {}
+    frame = spark.createDataFrame(rows, "g string, n bigint, v bigint")
+    for r in groups.next_in_group(groups.fill_forward(frame, ["g"], "n", ["v"], block_rows=2), ["g"], "n", "n", "nxt", block_rows=2).collect():
+        got[(r.g, r.n)] = (r.v, r.nxt)
+    want = {}
+    for g in {r[0] for r in rows}:
+        own, last = sorted((n, v) for k, n, v in rows if k == g), None
+        for i, (n, v) in enumerate(own):
+            last = v if v is not None else last
+            want[(g, n)] = (last, own[i + 1][0] if i + 1 < len(own) else None)
+    assert got == want
+
+
+def test_pages_at_any_depth(spark):
+    frame = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("a"), F.col("id").alias("b"))
+    order = [F.col("a").desc(), F.col("b").asc()]
+    wanted = [tuple(r) for r in frame.orderBy(*order).collect()]
+    paged = groups.PagedTable(frame, order, ranges=40)
+    assert sum(size for _, size in paged.sizes) == 5000
+    for number, size in ((1, 7), (2, 500), (10, 500), (713, 7), (11, 500), (99, 500)):
+        assert [tuple(r) for r in paged.page(number, size).collect()] == wanted[(number - 1) * size : number * size]
+    assert [tuple(r) for r in groups.page(frame, order, 3, 100).collect()] == wanted[200:300]
+
+
+def test_observed_counts(spark):
+    """Rows of a commit are counted while they are written; a refused delivery has rows in no table."""
+    from stockweave.operators import sinks
+
+    day = dt.date(1999, 5, 1)
+    requests = spark.createDataFrame([("a", 1, "k1", "0" * 64), ("b", 2, "k1", "1" * 64), ("c", 3, "k2", "0" * 64), ("d", 4, "k3", "X" * 64)], "batch_id string, request_no int, version_key string, source_checksum string")
+    previews = spark.createDataFrame([(b, True, day, day) for b in "abcd"], "batch_id string, commit_allowed boolean, period_start date, period_end date")
+    registry = spark.createDataFrame([], "dataset_type string, version_key string, period_start date, period_end date, source_checksum string")
+    verdicts = sinks.commit_verdicts(requests, previews, registry, "ACTUAL")
+    assert {r.batch_id: r.code for r in verdicts.collect()} == {"a": None, "b": "VERSION_KEY_EXISTS", "c": "SOURCE_ALREADY_IMPORTED", "d": "CHECKSUM_INVALID"}
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "batch_id string, n int")
+    tables, watches = sinks.observed({"raw": sinks._accepted(rows, verdicts), "version": sinks._versions(verdicts)})
+    for frame in tables.values():
+        frame.write.format("noop").mode("overwrite").save()
+    assert {name: watch.get["rows"] for name, watch in watches.items()} == {"raw": 2, "version": 1}
