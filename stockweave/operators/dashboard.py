@@ -157,6 +157,12 @@ def sorted_page(groups: DataFrame, sort: str, ties: Sequence[str], page_no: int
     return page(groups, [first, *rest], page_no, page_size)
 
 
+def top_groups(fact: DataFrame, dimension: Sequence[str], n: int = 5) -> DataFrame:
+    """The ``n`` groups with the largest quantity, ties by the dimension; grouped first, so only groups are ranked."""
+    totals = fact.groupBy(*dimension).agg(F.sum("actual_qty").cast("decimal(28,4)").alias("qty"))
+    return totals.orderBy(F.col("qty").desc(), *[F.col(c).asc_nulls_first() for c in dimension]).limit(n)
+
+
 # --- current snapshots -----------------------------------------------------
 
 

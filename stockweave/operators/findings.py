@@ -254,11 +254,11 @@ def allowed_decision(code: Column, kind: str) -> Column:
 
 
 def contract_status(kind: str) -> Column:
-    """ERROR, EXISTING, WARNING or READY of a row: its strictest category wins."""
+    """ERROR, EXISTING, WARNING or READY of a row: its strictest category wins; a finding about the file is an error of each row."""
 
     def any_in(category: str) -> Column:
         return F.exists("findings", lambda item: finding_category(item["code"], kind) == category)
 
     return (
-        F.when(any_in("BLOCK"), "ERROR").when(any_in("EXISTING"), "EXISTING").when(any_in("DECIDE"), "WARNING").otherwise("READY")
+        F.when(any_in("BLOCK") | any_in("FILE"), "ERROR").when(any_in("EXISTING"), "EXISTING").when(any_in("DECIDE"), "WARNING").otherwise("READY")
     )

@@ -94,6 +94,34 @@ CUSTOMER_FIELDS = (
 )
 
 
+REFERENCES = ("channel", "salesrep", "region", "province", "parent_customer")
+
+
+def existing_differences(rows: DataFrame, customer: DataFrame) -> DataFrame:
+    """What an EXISTING customer row says otherwise than its master, and both snapshots.
+
+    ``rows``: batch_id, row_number, matched_stable_id, customer_code and name,
+    the fields of :data:`CUSTOMER_FIELDS`, and for each reference its source
+    text (``<name>_ref``) and the stable id it was resolved to. ``customer``
+    has the same fields, ``<name>_stable_id`` and ``<name>_name`` of each
+    reference, and customer_status. ``differences`` maps a field or reference
+    to both values; the snapshots are JSON.
+    """
+    own = ("customer_code", "customer_name", *CUSTOMER_FIELDS)
+    ids = tuple(f"{r}_stable_id" for r in REFERENCES)
+    stored = customer.select(F.col("customer_stable_id").alias("matched_stable_id"), *[F.col(c).alias(f"_m_{c}") for c in (*own, *ids, *[f"{r}_name" for r in REFERENCES], "customer_status")])
+    joined = rows.join(stored, "matched_stable_id")
+    changed = differences({c: (F.col(c), F.col(f"_m_{c}")) for c in (*CUSTOMER_FIELDS, *ids)})
+
+    def snapshot(prefix: str, shown: dict[str, str], *more: Column) -> Column:
+        references = [F.struct(F.col(f"{prefix}{text}").alias(label), F.col(f"{prefix}{r}_stable_id").alias("stable_id")).alias(r) for r in REFERENCES for label, text in [(shown["label"], shown["text"].format(r))]]
+        return F.to_json(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in (*own, *ids)], F.struct(*references).alias("references"), *more), {"ignoreNullFields": "false"})
+
+    source = snapshot("", {"label": "value", "text": "{}_ref"})
+    master = snapshot("_m_", {"label": "name", "text": "{}_name"}, F.col("matched_stable_id").alias("stable_id"), F.col("_m_customer_status").alias("status"))
+    return joined.select("batch_id", "row_number", changed.alias("differences"), source.alias("source_snapshot"), master.alias("master_snapshot"))
+
+
 def customer_identity(rows: DataFrame, customer: DataFrame) -> DataFrame:
     """Existing, code conflict, name conflict against the masters and in the file.
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar_queries", "sales_queries", "publishing_queries", "planning_queries", "cycle_queries", "master_queries", "sink_queries", "file_queries", "commit_queries", "lock_queries", "review_queries")
+MODULES = ("scalar_queries", "sales_queries", "publishing_queries", "planning_queries", "cycle_queries", "master_queries", "sink_queries", "file_queries", "commit_queries", "lock_queries", "review_queries", "detail_queries")
 
 
 def load():
