@@ -21,10 +21,8 @@ def spreadsheet_serial(value: Column | str) -> Column:
 
 
 def _ymd(text: Column, separators: str) -> Column:
-    matched = F.regexp_extract(text, rf"^(\d{{4}})([{separators}])(\d{{1,2}})([{separators}])(\d{{1,2}})$", 1) != ""
-    same = F.regexp_extract(text, rf"^\d{{4}}([{separators}])\d{{1,2}}\1\d{{1,2}}$", 1) != ""
-    plain = F.regexp_replace(text, f"[{separators}]", "-")
-    return F.when(matched & same, F.try_to_date(plain, "yyyy-M-d"))
+    same = text.rlike(rf"^\d{{4}}([{separators}])\d{{1,2}}\1\d{{1,2}}$")
+    return F.when(same, F.try_to_date(F.translate(text, separators, "-" * len(separators)), "yyyy-M-d"))
 
 
 def _compact(text: Column) -> Column:
@@ -39,10 +37,14 @@ def sales_date(value: Column | str) -> Column:
     return F.coalesce(_ymd(day, "/-"), spreadsheet_serial(text))
 
 
+def planning_day(text: Column) -> Column:
+    """`planning_date` of a text that is normalised already."""
+    return F.coalesce(_ymd(text, "/.-"), _compact(text), F.when(~text.rlike(r"^\d{8}$"), spreadsheet_serial(text)))
+
+
 def planning_date(value: Column | str) -> Column:
     """``y-m-d``, ``y/m/d``, ``y.m.d``, ``yyyymmdd`` or a serial."""
-    text = normalize_text(value)
-    return F.coalesce(_ymd(text, "/.-"), _compact(text), F.when(~text.rlike(r"^\d{8}$"), spreadsheet_serial(text)))
+    return planning_day(normalize_text(value))
 
 
 def planning_date_invalid(value: Column | str, required: bool) -> Column:

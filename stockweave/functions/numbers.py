@@ -14,6 +14,8 @@ FEED_QTY, STORED_QTY = "decimal(36,18)", "decimal(18,3)"
 #: Numbers whose plain text would need more zeros than this keep an exponent.
 _LONGEST = 10_000
 _LIMB = 9
+#: A number already without marks, leading zeros and exponent, short enough for FEED_QTY.
+_PLAIN = r"^-?(0|[1-9][0-9]{0,17})([.][0-9]{1,18})?\z"
 
 
 def _let(value: Column, use) -> Column:
@@ -76,28 +78,59 @@ def order_quantity(value: Column | str) -> Column:
 
 def number_invalid(value: Column | str) -> Column:
     """A non-blank text without the shape of a number; how many digits it has does not matter."""
-    return ~strip(F.regexp_replace(normalize_text(value), "[,_]", "")).rlike(_NUMBER_SHAPE) & normalize_text(value).isNotNull()
+    return feed_cell(value)["invalid"]
 
 
-def feed_quantity(value: Column | str) -> Column:
-    """Quantity of a feed cell with thousands marks, to 18 decimals; blank, no number or 10^18 and more -> NULL. For sums; signs and balances are decided on `decimal_text`, which keeps all digits."""
+def feed_cell(value: Column | str) -> Column:
+    """What a feed cell with thousands marks says, parsed once: blank, invalid, quantity and text.
+
+    ``invalid``: not blank and without the shape of a number. ``quantity``: see
+    `feed_quantity`. ``text``: see `decimal_text`. Make it a column of its own
+    and read the fields from that column, or each field is a parse again.
+    """
+    raw = col(value).cast("string")
+    cell = lambda blank, invalid, quantity, text: F.struct(blank.alias("blank"), invalid.alias("invalid"), quantity.alias("quantity"), text.alias("text"))
+    no, nothing = F.lit(False), F.lit(None)
+    short = F.when(raw.contains("."), F.rtrim(F.rtrim(raw, F.lit("0")), F.lit("."))).otherwise(raw)
+    plain = cell(no, no, raw.try_cast(FEED_QTY), F.when(short == "-0", "0").otherwise(short))
 
     def held(n: Column) -> Column:
         point = F.length(n["significant"]) + n["exponent"]
         number = F.concat(F.when(n["negative"], "-").otherwise(""), n["significant"], F.lit("e"), n["exponent"].cast("string")).try_cast(FEED_QTY)
         return F.when((n["significant"] == "") | (point < -18), F.lit(0).cast(FEED_QTY)).when(point <= 18, number)
 
-    return _parsed(strip(F.regexp_replace(normalize_text(value), "[,_]", "")), held)
+    def parsed(clean: Column) -> Column:
+        bare = strip(clean)
+        # The text is of the cell as it stands: a mark set off by a space leaves none.
+        found = _parsed(bare, lambda n: cell(no, no, held(n), F.when(clean == bare, _shown(n))))
+        return F.coalesce(found, cell(no, F.lit(True), nothing.cast(FEED_QTY), nothing.cast("string")))
+
+    blank = cell(F.lit(True), no, nothing.cast(FEED_QTY), nothing.cast("string"))
+    other = _let(normalize_text(raw), lambda t: F.when(t.isNull(), blank).otherwise(_let(F.regexp_replace(t, "[,_]", ""), parsed)))
+    return F.when(raw.rlike(_PLAIN), plain).otherwise(other)
+
+
+def feed_quantity(value: Column | str) -> Column:
+    """Quantity of a feed cell with thousands marks, to 18 decimals; blank, no number or 10^18 and more -> NULL. For sums; signs and balances are decided on `decimal_text`, which keeps all digits."""
+    return feed_cell(value)["quantity"]
+
+
+def cell_not_storable(cell: Column) -> Column:
+    """A number that DECIMAL(18,3) cannot hold: 10^15 or more after rounding to its places; of a `feed_cell`."""
+    return ~cell["invalid"] & ~cell["blank"] & cell["quantity"].try_cast(STORED_QTY).isNull()
 
 
 def not_storable(value: Column | str) -> Column:
-    """A number that DECIMAL(18,3) cannot hold: 10^15 or more after rounding to its places."""
-    return ~number_invalid(value) & normalize_text(value).isNotNull() & feed_quantity(value).try_cast(STORED_QTY).isNull()
+    return cell_not_storable(feed_cell(value))
+
+
+def cell_or_zero(cell: Column) -> Column:
+    """Quantity of a `feed_cell`, but a blank cell is zero."""
+    return F.when(cell["blank"], F.lit(0).cast(FEED_QTY)).otherwise(cell["quantity"])
 
 
 def feed_quantity_or_zero(value: Column | str) -> Column:
-    """The same, but a blank cell is zero."""
-    return F.when(normalize_text(value).isNull(), F.lit(0).cast(FEED_QTY)).otherwise(feed_quantity(value))
+    return cell_or_zero(feed_cell(value))
 
 
 def forecast_valid(value: Column | str) -> Column:
@@ -106,26 +139,27 @@ def forecast_valid(value: Column | str) -> Column:
     return F.coalesce(number, F.lit(False))
 
 
+def _shown(n: Column) -> Column:
+    """Canonical text of parsed parts."""
+    digits, exponent = n["significant"], n["exponent"]
+    point = F.length(digits) + exponent
+    few = lambda n: n.cast("int")
+    body = (
+        F.when((exponent > _LONGEST) | (point < -_LONGEST), F.concat(digits, F.lit("e"), exponent.cast("string")))
+        .when(exponent >= 0, F.concat(digits, F.repeat(F.lit("0"), few(exponent))))
+        .when(point > 0, F.concat(F.substr(digits, F.lit(1), few(point)), F.lit("."), F.substr(digits, few(point + 1))))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), few(-point)), digits))
+    )
+    signed = F.when(n["negative"], F.concat(F.lit("-"), body)).otherwise(body)
+    return F.when(digits == "", F.lit("0")).otherwise(signed)
+
+
 def decimal_text(value: Column | str) -> Column:
     """Canonical text of all digits: no exponent, no trailing zeros; NULL when no number.
 
     Beyond 10,000 zeros to fill in, the text is ``digits e power``: still exact and one text per number.
     """
-
-    def shown(n: Column) -> Column:
-        digits, exponent = n["significant"], n["exponent"]
-        point = F.length(digits) + exponent
-        few = lambda n: n.cast("int")
-        body = (
-            F.when((exponent > _LONGEST) | (point < -_LONGEST), F.concat(digits, F.lit("e"), exponent.cast("string")))
-            .when(exponent >= 0, F.concat(digits, F.repeat(F.lit("0"), few(exponent))))
-            .when(point > 0, F.concat(F.substr(digits, F.lit(1), few(point)), F.lit("."), F.substr(digits, few(point + 1))))
-            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), few(-point)), digits))
-        )
-        signed = F.when(n["negative"], F.concat(F.lit("-"), body)).otherwise(body)
-        return F.when(digits == "", F.lit("0")).otherwise(signed)
-
-    return _parsed(F.regexp_replace(normalize_text(value), "[,_]", ""), shown)
+    return feed_cell(value)["text"]
 
 
 def is_negative(text: Column | str) -> Column:
@@ -170,14 +204,16 @@ def balanced(plus: list[Column], minus: list[Column]) -> Column:
         return F.struct(sign, F.substring_index(plain, ".", 1).alias("whole"), fraction.alias("fraction"))
 
     def compared(texts: Column) -> Column:
-        signed = F.transform(texts, lambda t, i: F.when(i < many, t.try_cast("decimal(36,18)")).otherwise(-t.try_cast("decimal(36,18)")))
-        zero = F.aggregate(signed, F.lit(0).cast("decimal(38,18)"), lambda x, y: (x + y).cast("decimal(38,18)")) == 0
-        short = F.forall(texts, lambda t: t.rlike(r"^-?[0-9]{1,18}([.][0-9]{1,18})?$"))
         far = lambda start, n: F.array_sort(F.filter(F.slice(texts, start, n), lambda t: t.contains("e")))
         exact = _let(F.transform(texts, parts), by_limbs) & (far(1, many) == far(many + 1, len(minus)))
-        return F.when(F.forall(texts, lambda t: t.isNotNull()), F.when(short, zero).otherwise(exact))
-
-    return _let(F.array(*plus, *minus), compared)
+        return F.when(F.forall(texts, lambda t: t.isNotNull()), exact)
+
+    short, zero = F.lit(True), F.lit(0).cast("decimal(38,18)")
+    for number, text in enumerate([*plus, *minus]):
+        value = text.try_cast("decimal(36,18)")
+        short = short & F.coalesce(text.rlike(r"^-?[0-9]{1,18}([.][0-9]{1,18})?$"), F.lit(False))
+        zero = (zero + (value if number < many else -value)).cast("decimal(38,18)")
+    return F.when(short, zero == 0).otherwise(_let(F.array(*plus, *minus), compared))
 
 
 def share(part: Column | str, total: Column | str) -> Column:

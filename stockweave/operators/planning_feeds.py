@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.functions.dates import is_complete_month, month_start, planning_date, planning_date_invalid
-from stockweave.functions.numbers import balanced, decimal_text, feed_quantity, feed_quantity_or_zero, is_negative, not_storable, number_invalid
+from stockweave.functions.dates import is_complete_month, month_start, planning_day
+from stockweave.functions.numbers import balanced, cell_not_storable, cell_or_zero, feed_cell, is_negative
 from stockweave.functions.text import code_text, normalize_text
 from stockweave.operators.findings import finding, with_findings
 from stockweave.operators.groups import fill_forward
@@ -41,31 +41,46 @@ def type_actuals(raw: DataFrame) -> DataFrame:
         "quantity",
         "production_day",
         *[(code_text(c) if c == "sku_code" else normalize_text(c)).alias(c) for c in _ACTUAL_TEXT],
-    ).withColumns(
+    )
+    read = read_cells(typed, ["quantity"], ["business_date", "production_day"]).withColumns(
         {
-            "sales_date": planning_date("business_date"),
-            "shipped_qty": feed_quantity("quantity"),
-            "shipped_qty_text": decimal_text("quantity"),
-            "production_date": planning_date("production_day"),
+            "sales_date": planning_day(F.col("_cell_business_date")),
+            "shipped_qty": F.col("_cell_quantity.quantity"),
+            "shipped_qty_text": F.col("_cell_quantity.text"),
+            "production_date": planning_day(F.col("_cell_production_day")),
         }
     )
-    return with_findings(typed, actual_rules(text_cells=True))
+    return drop_cells(with_findings(read, actual_rules(text_cells=True)))
+
+
+def read_cells(raw: DataFrame, numbers: Sequence[str], days: Sequence[str]) -> DataFrame:
+    """Adds what number and date cells say as columns, so that each cell is parsed once, however many rules read it.
+
+    Normalise other texts in a step before the one that reads the cells: next to
+    them they make the optimizer put the parse into every use again.
+    """
+    return raw.withColumns({f"_cell_{c}": feed_cell(c) for c in numbers} | {f"_cell_{c}": normalize_text(c) for c in days})
+
+
+def drop_cells(rows: DataFrame) -> DataFrame:
+    return rows.drop(*[c for c in rows.columns if c.startswith("_cell_")])
 
 
 _ACTUAL_TEXT = ("customer_name", "document_status", "sku_code", "sku_name", "warehouse_name", "batch_no")
 
 
 def actual_rules(text_cells: bool = False) -> list:
-    """Field rules of a shipment row."""
-    no_number = normalize_text("quantity").isNull() | number_invalid("quantity") if text_cells else F.col("shipped_qty").isNull()
+    """Field rules of a shipment row; ``text_cells``: of one with the columns of `read_cells`."""
+    number, day = F.col("_cell_quantity"), F.col("_cell_production_day")
+    no_number = number["blank"] | number["invalid"] if text_cells else F.col("shipped_qty").isNull()
     rules = [
         finding(F.col("sales_date").isNull(), "ACTUAL_SALES_DATE_INVALID", field="sales_date"),
         finding(no_number, "ACTUAL_SALES_VALUE_INVALID", field="shipped_qty"),
     ]
     if text_cells:
-        rules.append(finding(not_storable("quantity"), "ACTUAL_SALES_VALUE_NOT_STORABLE", field="shipped_qty"))
+        rules.append(finding(cell_not_storable(number), "ACTUAL_SALES_VALUE_NOT_STORABLE", field="shipped_qty"))
         rules.append(
-            finding(planning_date_invalid("production_day", required=False), "ACTUAL_SALES_PRODUCTION_DATE_INVALID", field="production_date")
+            finding(F.col("production_date").isNull() & day.isNotNull(), "ACTUAL_SALES_PRODUCTION_DATE_INVALID", field="production_date")
         )
     rules += [
         finding(F.col(c).isNull(), "ACTUAL_SALES_REQUIRED_FIELD_MISSING", field=c)
@@ -135,19 +150,20 @@ def type_inventory(raw: DataFrame) -> DataFrame:
     quantities = {"opening_qty": "opening", "receipt_qty": "receipt", "issue_qty": "issue", "ending_qty": "ending"}
     days = {"production_date": "production_day", "expiry_date": "expiry_day"}
     texts = ("sku_code", "sku_name", "warehouse_name", "batch_no", "inventory_unit")
-    typed = raw.withColumns(
+    cell = {c: F.col(f"_cell_{source}") for c, source in (quantities | days).items()}
+    read = read_cells(raw, list(quantities.values()), list(days.values())).withColumns({c: normalize_text(c) for c in texts})
+    typed = read.withColumns(
         {
-            **{c: normalize_text(c) for c in texts},
-            **{c: planning_date(source) for c, source in days.items()},
-            **{c: feed_quantity_or_zero(source) for c, source in quantities.items()},
-            **{f"{c}_text": F.when(normalize_text(source).isNull(), "0").otherwise(decimal_text(source)) for c, source in quantities.items()},
+            **{c: planning_day(cell[c]) for c in days},
+            **{c: cell_or_zero(cell[c]) for c in quantities},
+            **{f"{c}_text": F.when(cell[c]["blank"], "0").otherwise(cell[c]["text"]) for c in quantities},
         }
     )
-    rules = [finding(planning_date_invalid(source, required=True), "INVENTORY_VALUE_INVALID", field=c) for c, source in days.items()]
-    rules += [finding(number_invalid(source), "INVENTORY_VALUE_INVALID", field=c) for c, source in quantities.items()]
-    rules += [finding(not_storable(source), "INVENTORY_VALUE_NOT_STORABLE", field=c) for c, source in quantities.items()]
+    rules = [finding(F.col(c).isNull(), "INVENTORY_VALUE_INVALID", field=c) for c in days]
+    rules += [finding(cell[c]["invalid"], "INVENTORY_VALUE_INVALID", field=c) for c in quantities]
+    rules += [finding(cell_not_storable(cell[c]), "INVENTORY_VALUE_NOT_STORABLE", field=c) for c in quantities]
     rules += [finding(F.col(c).isNull(), "INVENTORY_REQUIRED_FIELD_MISSING", field=c) for c in texts]
-    return with_findings(typed, rules)
+    return drop_cells(with_findings(typed, rules))
 
 
 def inventory_batch_findings(batches: DataFrame) -> DataFrame:
@@ -278,19 +294,20 @@ def type_incoming(raw: DataFrame) -> DataFrame:
     """Text columns of the supply file -> typed columns and findings."""
     quantities = ("shipment_qty", "order_qty", "shipped_total", "difference_qty")
     texts = ("sku_code", "sku_name", "order_group", "order_no", "batch_no")
-    rules = [finding(number_invalid(c), "INCOMING_QUANTITY_INVALID", field=c) for c in quantities]
-    rules += [finding(not_storable(c), "INCOMING_QUANTITY_NOT_STORABLE", field=c) for c in quantities]
-    rules.append(finding(planning_date_invalid("eta", required=False), "INCOMING_ETA_INVALID", field="eta"))
-    checked = with_findings(raw, rules)
-    return checked.withColumns(
+    cell = {c: F.col(f"_cell_{c}") for c in (*quantities, "eta")}
+    entered = {"warehouse_entry_recorded": normalize_text("warehouse_entry").isNotNull()}
+    read = read_cells(raw, quantities, ["eta"]).withColumns({c: normalize_text(c) for c in texts} | entered)
+    typed = read.withColumns(
         {
-            **{f"{c}_text": decimal_text(c) for c in quantities},
-            **{c: feed_quantity(c) for c in quantities},
-            **{c: normalize_text(c) for c in texts},
-            "eta": planning_date("eta"),
-            "warehouse_entry_recorded": normalize_text("warehouse_entry").isNotNull(),
+            **{f"{c}_text": cell[c]["text"] for c in quantities},
+            **{c: cell[c]["quantity"] for c in quantities},
+            "eta": planning_day(cell["eta"]),
         }
     )
+    rules = [finding(cell[c]["invalid"], "INCOMING_QUANTITY_INVALID", field=c) for c in quantities]
+    rules += [finding(cell_not_storable(cell[c]), "INCOMING_QUANTITY_NOT_STORABLE", field=c) for c in quantities]
+    rules.append(finding(F.col("eta").isNull() & cell["eta"].isNotNull(), "INCOMING_ETA_INVALID", field="eta"))
+    return drop_cells(with_findings(typed, rules))
 
 
 def resolve_incoming(typed: DataFrame, sku: DataFrame, product: DataFrame) -> DataFrame:

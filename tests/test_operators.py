@@ -290,3 +290,25 @@ def test_observed_counts(spark):
     for frame in tables.values():
         frame.write.format("noop").mode("overwrite").save()
     assert {name: watch.get["rows"] for name, watch in watches.items()} == {"raw": 2, "version": 1}
+
+
+def test_stock_cells_are_parsed_once(spark):
+    """Every quantity of a stock row is parsed in one place, whatever number of rules reads it."""
+    names = ["sku_code", "sku_name", "warehouse_name", "batch_no", "inventory_unit", "production_day", "expiry_day", "opening", "receipt", "issue", "ending"]
+    fields = ", ".join(f"{n} string" for n in names)
+    good = ["k", " n ", "w", "b", "u", "2000-01-02", "2000.1.3"]
+    cells = [["1", "2", "0.50", "2.5"], ["-0.0", "1,000", "１", "1e3"], ["007", "", " 1 ,", "1e-19"], ["12\n", "+1.", ".5", "1.5e2147483647"]]
+    raw = spark.createDataFrame([(i, *good, *c) for i, c in enumerate(cells)], f"row_number bigint, {fields}")
+    typed = planning_feeds.type_inventory(raw)
+    found = findings.with_findings(typed, planning_feeds.inventory_balance_rules(typed))
+    texts = {r.row_number: [r.opening_qty_text, r.receipt_qty_text, r.issue_qty_text, r.ending_qty_text] for r in typed.collect()}
+    assert texts == {0: ["1", "2", "0.5", "2.5"], 1: ["0", "1000", "1", "1000"], 2: ["7", "0", None, "0.0000000000000000001"], 3: ["12", "1", "0.5", "15e2147483646"]}
+    codes = {r.row_number: sorted((f.code, f.field) for f in r.findings) for r in found.collect()}
+    assert codes == {0: [], 1: [("INVENTORY_BALANCE_MISMATCH", None)], 2: [], 3: [("INVENTORY_BALANCE_MISMATCH", None), ("INVENTORY_VALUE_NOT_STORABLE", "ending_qty")]}
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = findings.finding_counts(found)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("[,_]") == 4
