@@ -343,14 +343,16 @@ def fill_merged(cells: DataFrame, ranges: DataFrame, band: int = 256) -> DataFra
     ``cells``: sheet, row, column, value. ``ranges``: sheet, r0, r1, c0, c1,
     value; ranges of a sheet do not overlap. A range is one row for each of its
     columns and bands of ``band`` rows, and a cell meets the ranges of its own
-    band only: at most ``band`` of them, however many a column has.
+    band only: at most ``band`` of them, however many a column has. The pieces
+    are many more than the ranges the optimizer counts, so they are shuffled
+    like the cells and never broadcast through the driver.
     """
     pieces = ranges.withColumn("_c", F.explode(F.sequence("c0", "c1")))
     pieces = pieces.withColumn("_b", F.explode(F.sequence(F.floor(F.col("r0") / band), F.floor(F.col("r1") / band))))
     pieces = pieces.select(F.col("sheet").alias("_s"), "_c", "_b", "r0", "r1", F.struct(F.col("value").alias("v")).alias("_merged"))
     placed = cells.withColumn("_band", F.floor(F.col("row") / band))
     inside = (F.col("sheet") == F.col("_s")) & (F.col("column") == F.col("_c")) & (F.col("_band") == F.col("_b")) & F.col("row").between(F.col("r0"), F.col("r1"))
-    joined = placed.join(pieces, inside, "left")
+    joined = placed.join(pieces.hint("merge"), inside, "left")
     value = F.when(F.col("_merged").isNotNull(), F.col("_merged.v")).otherwise(F.col("value"))
     return joined.select("sheet", "row", "column", value.alias("value"))
 

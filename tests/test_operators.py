@@ -312,3 +312,12 @@ def test_stock_cells_are_parsed_once(spark):
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", before)
     assert plan.count("[,_]") == 4
+
+
+def test_merged_pieces_are_not_broadcast(spark):
+    """The optimizer counts ranges, not the pieces they are cut into."""
+    cells = spark.createDataFrame([("s", r, c, "y") for r in range(0, 600, 50) for c in (1, 2)], "sheet string, row int, column int, value string")
+    ranges = spark.createDataFrame([("s", 0, 299, 1, 1, "x"), ("s", 300, 599, 2, 2, None)], "sheet string, r0 int, r1 int, c0 int, c1 int, value string")
+    filled = contracts.fill_merged(cells, ranges)
+    assert {(r.row, r.column): r.value for r in filled.collect()} == {(r, c): ("x" if c == 1 and r < 300 else None if c == 2 and r >= 300 else "y") for r in range(0, 600, 50) for c in (1, 2)}
+    assert "Broadcast" not in filled._jdf.queryExecution().executedPlan().toString()
