@@ -321,3 +321,24 @@ def test_merged_pieces_are_not_broadcast(spark):
     filled = contracts.fill_merged(cells, ranges)
     assert {(r.row, r.column): r.value for r in filled.collect()} == {(r, c): ("x" if c == 1 and r < 300 else None if c == 2 and r >= 300 else "y") for r in range(0, 600, 50) for c in (1, 2)}
     assert "Broadcast" not in filled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_join_orders_that_have_their_customers(spark, tmp_path):
+    """The widest table takes part in one join; repeated keys still multiply."""
+    from stockweave.plans import standins
+
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    day = dt.datetime(2000, 1, 2)
+    tables = {
+        "lineitem": ([(k, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", day) for k in (1, 2, 3, None)], line),
+        "orders": ([(1, 7, day), (2, 8, day), (2, 9, day), (None, 7, day)], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp"),
+        "customer": ([(7, "a"), (7, "b"), (9, "c")], "c_custkey bigint, c_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    frame = standins.order_lines(spark, str(tmp_path))
+    got = sorted((r.l_orderkey or 0, r.o_custkey or 0, r.c_name or "") for r in frame.collect())
+    assert got == [(0, 0, ""), (1, 7, "a"), (1, 7, "b"), (2, 8, ""), (2, 9, "c"), (3, 0, "")]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    joins = [text for text in plan.splitlines() if "Join LeftOuter" in text]
+    assert len(joins) == 2 and "l_orderkey" in joins[0]
