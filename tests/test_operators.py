@@ -342,3 +342,21 @@ def test_lines_join_orders_that_have_their_customers(spark, tmp_path):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     joins = [text for text in plan.splitlines() if "Join LeftOuter" in text]
     assert len(joins) == 2 and "l_orderkey" in joins[0]
+
+
+def test_preview_counters_in_one_join(spark):
+    """Rows and candidates move once: repeated, misaligned, foreign and missing candidates in one pass."""
+    rows = spark.createDataFrame(
+        [(1, "a", "READY", 5), (2, "a", "READY", 6), (3, "a", "SKIPPED", 7), (4, "b", "READY", 8), (None, "b", "READY", 1)],
+        "import_row_id bigint, batch_id string, status string, actual_qty int",
+    )
+    candidates = spark.createDataFrame([(1, "a"), (1, "a"), (3, "a"), (4, "a"), (9, "b"), (None, "b")], "import_row_id bigint, batch_id string")
+    counters = "total_rows bigint, ready_rows bigint, skipped_rows bigint, total_qty int, ready_qty int, skipped_qty int"
+    batches = spark.createDataFrame([("a", "E", MONTHS[0], 3, 2, 1, 18, 11, 7), ("b", "E", MONTHS[0], 2, 2, 0, 9, 9, 0)], f"batch_id string, source_system string, snapshot_month date, {counters}")
+    found = publishing.preview_integrity(batches, rows, candidates)
+    got = {(r.batch_id, r.label): (int(r.actual), int(r.expected)) for r in found.collect()}
+    assert got == {
+        ("a", "candidate_count"): (4, 2), ("a", "candidate_unique_rows"): (3, 4), ("a", "ready_without_candidate"): (1, 0), ("a", "misaligned_candidate"): (2, 0), ("a", "candidate_qty"): (25, 11),
+        ("b", "candidate_count"): (0, 2), ("b", "ready_without_candidate"): (1, 0), ("b", "candidate_qty"): (0, 9),
+    }
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
