@@ -25,6 +25,12 @@ def _ymd(text: Column, separators: str) -> Column:
     return F.when(same, F.try_to_date(F.translate(text, separators, "-" * len(separators)), "yyyy-M-d"))
 
 
+def _iso_day(value: Column | str, other: Column) -> Column:
+    """Date of an ISO text as it stands, read without patterns; of any other cell ``other``."""
+    plain = col(value).rlike(r"^[1-9][0-9]{3}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])\z")
+    return F.when(plain, col(value).try_cast("date")).otherwise(other)
+
+
 def _compact(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
@@ -34,12 +40,12 @@ def sales_date(value: Column | str) -> Column:
     text = strip(value)
     clock = r"(0?\d|1\d|2[0-3]):(0?\d|[1-5]\d):(0?\d|[1-5]\d|6[01])"
     day = F.regexp_replace(text, rf"\s+{clock}$", "")
-    return F.coalesce(_ymd(day, "/-"), spreadsheet_serial(text))
+    return _iso_day(value, F.coalesce(_ymd(day, "/-"), spreadsheet_serial(text)))
 
 
 def planning_day(text: Column) -> Column:
     """`planning_date` of a text that is normalised already."""
-    return F.coalesce(_ymd(text, "/.-"), _compact(text), F.when(~text.rlike(r"^\d{8}$"), spreadsheet_serial(text)))
+    return _iso_day(text, F.coalesce(_ymd(text, "/.-"), _compact(text), F.when(~text.rlike(r"^\d{8}$"), spreadsheet_serial(text))))
 
 
 def planning_date(value: Column | str) -> Column:

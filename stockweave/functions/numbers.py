@@ -62,7 +62,10 @@ def exact_decimal(value: Column | str, whole_digits: int, scale: int) -> Column:
         number = F.concat(sign, n["significant"], F.lit("e"), n["exponent"].cast("string")).try_cast(target)
         return F.when(n["significant"] == "", F.lit(0).cast(target)).when(fits, number)
 
-    return _parsed(strip(value), held)
+    # Plain digits within both lengths need no reduction.
+    raw = col(value).cast("string")
+    plain = raw.rlike(rf"^-?[0-9]{{1,{whole_digits}}}([.][0-9]{{1,{scale}}})?\z")
+    return F.when(plain, raw.try_cast(target)).otherwise(_parsed(strip(raw), held))
 
 
 def sales_quantity(value: Column | str) -> Column:

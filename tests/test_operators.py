@@ -360,3 +360,16 @@ def test_preview_counters_in_one_join(spark):
         ("b", "candidate_count"): (0, 2), ("b", "ready_without_candidate"): (1, 0), ("b", "candidate_qty"): (0, 9),
     }
     assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sales_cells_by_the_short_way_and_the_long(spark):
+    from stockweave.functions import dates, numbers, text
+
+    cells = ["7", "-7.50", "007", "-0", "1.00000", "99999999999999", "100000000000000", " 7", "7\n", "1e2", "2000-01-02", "2000-02-30", "2000-1-2", "2000-01-02 10:00:00", "x" * 9]
+    frame = spark.createDataFrame([(c,) for c in cells], "t string")
+    short = frame.select("t", numbers.sales_quantity("t").alias("q"), dates.sales_date("t").alias("d"), text.line_number("t").alias("n"), text.bounded_text("t", 8).alias("b"))
+    # A no-break space in front sends every cell the long way and is stripped there.
+    shown = lambda frame: {r.t.strip(): (r.q, r.d, r.n, r.b) for r in frame.collect()}
+    long = frame.withColumn("t", F.concat(F.lit("\u00a0"), "t")).select("t", numbers.sales_quantity("t").alias("q"), dates.sales_date("t").alias("d"), text.line_number("t").alias("n"), text.bounded_text("t", 8).alias("b"))
+    assert shown(short) == shown(long)
+    assert shown(short)["-7.50"][0] == Decimal("-7.5") and shown(short)["100000000000000"][0] is None and shown(short)["2000-02-30"][1] is None
