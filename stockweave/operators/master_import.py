@@ -123,7 +123,7 @@ def existing_differences(rows: DataFrame, customer: DataFrame) -> DataFrame:
 
 
 def customer_identity(rows: DataFrame, customer: DataFrame) -> DataFrame:
-    """Existing, code conflict, name conflict against the masters and in the file.
+    """Existing, code conflict and name conflict against the masters.
 
     Codes are equal under the collation, names after normalisation. A row is
     EXISTING when its code names one master and that master has its name; its
@@ -168,8 +168,7 @@ def customer_identity(rows: DataFrame, customer: DataFrame) -> DataFrame:
     found = found.withColumn("matched_id", F.when(existing, F.col("_m.customer_id"))).withColumn(
         "matched_stable_id", F.when(existing, F.col("_m.customer_stable_id"))
     )
-    found = _drop_helpers(_set_action(_set_action(found, code_taken, "CONFLICT"), existing, "EXISTING"))
-    return customer_file_duplicates(stage(found))
+    return _drop_helpers(_set_action(_set_action(found, code_taken, "CONFLICT"), existing, "EXISTING"))
 
 
 def customer_file_duplicates(rows: DataFrame) -> DataFrame:
@@ -204,14 +203,15 @@ def customer_file_duplicates(rows: DataFrame) -> DataFrame:
     )
 
 
-def operational_references(rows: DataFrame, catalogue: DataFrame, references: dict[str, tuple[str, str]]) -> DataFrame:
+def operational_references(rows: DataFrame, catalogue: DataFrame, references: dict[str, tuple[str, str]], source: DataFrame | None = None) -> DataFrame:
     """Resolves references to the one active master of that name.
 
     ``references``: reference -> (column, entity type). Adds
     ``{reference}_stable_id``; inactive or unresolved names are errors unless
-    the row already exists. Reads ``rows`` once per reference: pass a stored table.
+    the row already exists. Reads the names once per reference: pass a stored
+    table, or as ``source`` the one that ``rows`` is a longer plan over.
     """
-    base = rows
+    base = rows if source is None else source
     for name, (column, entity_type) in references.items():
         resolved = master_reference(base, column, catalogue, entity_type).select(
             column, F.col("match.entity_stable_id").alias(f"{name}_stable_id"), F.col("inactive_only").alias("_inactive"), F.col("candidates").alias("_hits")
@@ -234,16 +234,18 @@ def _unique_names(rows: DataFrame) -> DataFrame:
     )
 
 
-def customer_parents(rows: DataFrame, catalogue: DataFrame, bootstrap: bool = False) -> DataFrame:
+def customer_parents(rows: DataFrame, catalogue: DataFrame, bootstrap: bool = False, source: DataFrame | None = None) -> DataFrame:
     """Parent of each customer: itself (root), a unique name of the batch, a
-    master, or unresolved (a warning; the final parent is NULL). Reads ``rows``
-    several times: pass a stored table."""
+    master, or unresolved (a warning; the final parent is NULL). Reads names and
+    matched masters several times: pass a stored table, or as ``source`` the one
+    that ``rows`` is a longer plan over."""
+    base = rows if source is None else source
     if bootstrap:
-        masters = reference(rows, "parent_customer_ref", catalogue, "CUSTOMER", bootstrap=True)
+        masters = reference(base, "parent_customer_ref", catalogue, "CUSTOMER", bootstrap=True)
     else:
-        masters = master_reference(rows, "parent_customer_ref", catalogue, "CUSTOMER")
+        masters = master_reference(base, "parent_customer_ref", catalogue, "CUSTOMER")
     masters = masters.select("parent_customer_ref", F.col("match.entity_stable_id").alias("_master"), F.col("candidates").alias("_hits"))
-    joined = rows.join(_unique_names(rows), [BATCH, "parent_customer_ref"], "left").join(masters, "parent_customer_ref", "left")
+    joined = rows.join(_unique_names(base), [BATCH, "parent_customer_ref"], "left").join(masters, "parent_customer_ref", "left")
     parent = F.col("parent_customer_ref")
     resolution = (
         F.when(parent.isNull(), "EMPTY")
@@ -308,12 +310,14 @@ def parent_cycles(rows: DataFrame) -> DataFrame:
 def evaluate_customers(raw: DataFrame, contract: Contract, customer: DataFrame, catalogue: DataFrame, references: dict[str, tuple[str, str]]) -> DataFrame:
     """A customer file from text to findings, action and references.
 
-    Steps that read their input several times start from a stored table.
+    The steps after the masters read names several times, which none of them
+    changes: they take these from one stored table and are one plan over it, so
+    each row is written once and a caller's columns are all that is shuffled.
     """
-    rows = stage(start_rows(normalize_rows(raw, contract), contract))
-    rows = stage(customer_identity(rows, customer))
-    rows = stage(operational_references(rows, catalogue, references))
-    return customer_parents(rows, catalogue)
+    matched = stage(customer_identity(start_rows(normalize_rows(raw, contract), contract), customer))
+    rows = customer_file_duplicates(matched)
+    rows = operational_references(rows, catalogue, references, matched)
+    return customer_parents(rows, catalogue, source=matched)
 
 
 # --- products --------------------------------------------------------------
