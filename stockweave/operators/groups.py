@@ -6,7 +6,7 @@ on partial aggregates instead, or cut a group into blocks first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,20 +41,24 @@ def attach_group(
     having: Column | None = None,
     salts: int = SALTS,
     source: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Rows with the aggregates of their group attached.
 
     The aggregates are combined map-side. ``having`` drops groups that need no
     attaching (their rows get NULL). Rows of one key are spread over ``salts``
     join partitions; rows with a NULL key match no group and are spread freely.
-    A small group table is broadcast by the optimizer, then no row moves.
-    ``source`` gives the aggregates when ``rows`` is a longer plan over it.
+    A small group table is broadcast by the optimizer, then no row moves; that
+    it is small is known in time only if ``keep`` (:func:`staging.stage`) stores
+    it first. ``source`` gives the aggregates when ``rows`` is a longer plan over it.
     """
     stats = (rows if source is None else source).groupBy(*keys).agg(*[measure.alias(name) for name, measure in measures.items()])
     for key in keys:
         stats = stats.filter(F.col(key).isNotNull())
     if having is not None:
         stats = stats.filter(having)
+    if keep:
+        stats = keep(stats)
     stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
         "_salt", F.col("_salt").cast("bigint")
     )

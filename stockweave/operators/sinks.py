@@ -177,6 +177,7 @@ def sales_preview_tables(mapped: DataFrame, verdicts: DataFrame) -> dict[str, Da
     """Batch, rows, candidates and issues of a mapped sales file, ready for review (IO18).
 
     ``mapped``: rows of :func:`resolution.map_sales_rows` with their batch_id.
+    Rows and candidates show those of their columns that the rows carry.
     """
     accepted = verdicts.filter(F.col("code").isNull())
     rows = mapped.join(accepted.select("batch_id"), "batch_id", "left_semi")
@@ -186,7 +187,7 @@ def sales_preview_tables(mapped: DataFrame, verdicts: DataFrame) -> dict[str, Da
     snapshot = [c for c in mapped.columns if c not in (*_SALES_ROW, "batch_id", "source_row_no", "status", "mapping_reason", "snapshot_month")]
     return {
         "sales_import_batch": batch,
-        "sales_import_row": rows.select("batch_id", "source_row_no", *_SALES_ROW, "status", "mapping_reason"),
+        "sales_import_row": rows.select("batch_id", "source_row_no", *_present(rows, *_SALES_ROW), "status", "mapping_reason"),
         "sales_import_candidate": rows.filter(F.col("status") == "READY").select("batch_id", "source_row_no", *snapshot),
         "sales_mapping_issue": mapping_issues(rows, "batch_id"),
     }
