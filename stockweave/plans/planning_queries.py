@@ -10,7 +10,7 @@ from stockweave.operators.findings import finding_counts, no_findings, with_find
 from stockweave.plans import standins as data
 from stockweave.plans.registry import query
 from stockweave.plans.standins import oracle
-from stockweave.sources.staging import stage
+from stockweave.sources.staging import Steps, stage
 
 _QTY = "DECIMAL(18,3)"
 
@@ -18,15 +18,20 @@ _QTY = "DECIMAL(18,3)"
 # --- actual shipments ------------------------------------------------------
 
 
-def checked_actuals(spark, sf_dir):
+#: What the monthly facts of shipments and the lookups before them read.
+ACTUAL_COLUMNS = ("customer_name", "sku_code", "sales_date", "shipped_qty", "findings")
+
+
+def checked_actuals(spark, sf_dir, keep=None):
+    """``keep``: the valid rows alone, in steps, of the columns that monthly facts read."""
     typed = data.planning_actuals(spark, sf_dir).withColumn("findings", no_findings())
     typed = with_findings(typed, feeds.actual_rules())
     masters = [f(spark, sf_dir) for f in (data.customer, data.channel, data.sku, data.product)]
-    return feeds.resolve_actuals(typed, *masters)
+    return feeds.resolve_actuals(typed.select(*ACTUAL_COLUMNS) if keep else typed, *masters, keep=keep)
 
 
-def valid_actuals(spark, sf_dir):
-    return checked_actuals(spark, sf_dir).filter(feeds.is_clean())
+def valid_actuals(spark, sf_dir, keep=None):
+    return checked_actuals(spark, sf_dir, keep).filter(feeds.is_clean())
 
 
 _ACTUAL_FOUND = """actual_found AS (
@@ -115,15 +120,17 @@ def actuals_summary(spark, sf_dir):
 # --- inventory -------------------------------------------------------------
 
 
-def checked_inventory(spark, sf_dir):
-    typed = data.inventory_rows(spark, sf_dir).withColumn("findings", no_findings())
+def checked_inventory(spark, sf_dir, keep=None):
+    """``keep`` stores the stock rows before their lookups."""
+    rows = data.inventory_rows(spark, sf_dir, keep)
+    typed = (keep(rows) if keep else rows).withColumn("findings", no_findings())
     masters = [f(spark, sf_dir) for f in (data.sku, data.product, data.warehouse_policy)]
     return feeds.resolve_inventory(typed, *masters)
 
 
-def planning_inventory(spark, sf_dir):
+def planning_inventory(spark, sf_dir, keep=None):
     version = F.year("inventory_month") * 100 + F.month("inventory_month")
-    return feeds.planning_rows(checked_inventory(spark, sf_dir)).withColumn("dataset_version_id", version.cast("bigint"))
+    return feeds.planning_rows(checked_inventory(spark, sf_dir, keep)).withColumn("dataset_version_id", version.cast("bigint"))
 
 
 _INV_FOUND = """inv_found AS (
@@ -478,13 +485,15 @@ def unambiguous_lot_revision(spark, sf_dir):
 
 
 def stored_facts(spark, sf_dir, *names):
-    """Monthly facts and future supply as their commits would have stored them, and the cycles."""
+    """Monthly facts and future supply as their commits would have stored them, and the cycles.
+    Each fact is made in steps of its own, of which only the last stays."""
     build = {
-        "actuals": lambda: feeds.actual_channel_months(valid_actuals(spark, sf_dir)),
-        "inventory": lambda: feeds.inventory_months(planning_inventory(spark, sf_dir), ["product_id"], "dataset_version_id"),
-        "incoming": lambda: valid_incoming(spark, sf_dir).select("product_id", "shipment_qty", "eta", "warehouse_entry_recorded", snapshot_of("order_no").alias("incoming_snapshot_id")),
+        "actuals": lambda keep: feeds.actual_channel_months(valid_actuals(spark, sf_dir, keep)),
+        "inventory": lambda keep: feeds.inventory_months(planning_inventory(spark, sf_dir, keep), ["product_id"], "dataset_version_id"),
+        "incoming": lambda keep: valid_incoming(spark, sf_dir).select("product_id", "shipment_qty", "eta", "warehouse_entry_recorded", snapshot_of("order_no").alias("incoming_snapshot_id")),
     }
-    return {name: stage(build[name]()) for name in names} | {"cycles": stage(cycles(spark, sf_dir))}
+    steps = {name: Steps() for name in names}
+    return {name: keep(build[name](keep)) for name, keep in steps.items()} | {"cycles": stage(cycles(spark, sf_dir))}
 
 
 def month_id(month) -> F.Column:

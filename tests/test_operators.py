@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.operators import cycle, dashboard, findings, groups, lots, master_import, planning_feeds, publishing, resolution, review, sinks
-from stockweave.plans import master_queries, publishing_queries, sink_queries
+from stockweave.plans import master_queries, planning_queries, publishing_queries, sink_queries
 from stockweave.sources import contracts, staging
 from stockweave.sources.registry import checksum_valid, file_checksums
 
@@ -504,3 +504,58 @@ def test_preview_counters_from_the_columns_they_read(spark):
     assert few.keys() == all_.keys() and "source_line_no" not in few["sales_import_row"].columns and "sku_code_snapshot" in all_["sales_import_candidate"].columns
     for name in few:
         assert sorted(map(str, few[name].collect())) == sorted(map(str, all_[name].select(*few[name].columns).collect())), name
+
+
+def test_shipments_in_steps_are_the_valid_ones(spark):
+    day = dt.date(2000, 1, 5)
+    cells = [(c, n, d, q) for c in ("A", "B ", "D", "E", None) for n in ("Ann", "Bob", "Eve", "Zoe", None) for d in (day, None) for q in (Decimal(2), None)]
+    typed = spark.createDataFrame([(i, *cell) for i, cell in enumerate(cells)], "row_number bigint, sku_code string, customer_name string, sales_date date, shipped_qty decimal(28,10)")
+    rules = [findings.finding(F.col(c).isNull(), "X", field=c) for c in ("sku_code", "customer_name", "sales_date", "shipped_qty")]
+    typed = findings.with_findings(typed.withColumn("findings", findings.no_findings()), rules)
+    sku, product, customer, channel, _ = sales_masters(spark)
+    sku = sku.selectExpr("*", "'s' sku_stable_id", "'ACTIVE' sku_status")
+    product = product.selectExpr("*", "'p' product_stable_id", "'ACTIVE' product_status")
+    stored = []
+    keep = lambda frame: stored.append(frame.columns) or staging.stage(frame)
+    columns = [*planning_queries.ACTUAL_COLUMNS, "customer_id", "channel_id", "sku_id", "product_id"]
+    shown = lambda frame: sorted(map(str, frame.select(*columns).collect()))
+    whole = planning_feeds.resolve_actuals(typed, customer, channel, sku, product).filter(planning_feeds.is_clean())
+    got = planning_feeds.resolve_actuals(typed.select(*planning_queries.ACTUAL_COLUMNS), customer, channel, sku, product, keep)
+    # Ann and Bob, of SKU A, which the masters have twice, and of B.
+    assert whole.count() == 6 and shown(got) == shown(whole)
+    assert len(stored) == 2 and "findings" in stored[0] and "findings" not in stored[1]
+
+
+def line_tables(spark, folder):
+    day = lambda i: dt.datetime(2000, 1 + i % 5, 2)
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    tables = {
+        "lineitem": ([(i % 7, i % 3 + 1, 1, i, float(i), 1.0, 0.0, 0.0, "N", "O", day(i)) for i in range(1, 40)], line),
+        "orders": ([(k, 7 + k % 2, dt.datetime(2000, 1, 1)) for k in range(7)], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp"),
+        "customer": ([(7, "Customer#7", "AUTO"), (8, "Customer#8", "SHIP")], "c_custkey bigint, c_name string, c_mktsegment string"),
+        "part": ([(k, "ring", "Brand#1", "ECONOMY", 3) for k in (1, 2, 3)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int"),
+        "supplier": ([(1, "Supplier#000000001")], "s_suppkey bigint, s_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        frame = spark.createDataFrame(rows, schema)
+        frame = frame.withColumn("c_nationkey", F.lit(1)) if name == "customer" else frame
+        frame.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_facts_are_made_in_steps_of_which_the_last_stays(spark, tmp_path, monkeypatch):
+    from stockweave.plans import standins
+
+    path = line_tables(spark, tmp_path)
+    shown = lambda frame: sorted(map(str, frame.collect()))
+    rows = standins.inventory_rows(spark, path)
+    assert shown(standins.inventory_rows(spark, path, staging.Steps())) == shown(rows)
+    made, gone, stage, discard = [], [], staging.stage, staging.discard
+    monkeypatch.setattr(staging, "stage", lambda frame: made.append(stage(frame)) or made[-1])
+    monkeypatch.setattr(staging, "discard", lambda frame: gone.append(frame) or discard(frame))
+    facts = planning_queries.stored_facts(spark, path, "actuals", "inventory")
+    # Shipments: typed, with customers, months; stock: month sums, rows, months.
+    assert len(made) == 6 and [made.index(frame) for frame in gone] == [0, 1, 3, 4]
+    assert shown(facts["actuals"]) == shown(planning_feeds.actual_channel_months(planning_queries.valid_actuals(spark, path))) != []
+    stock = planning_feeds.inventory_months(planning_queries.planning_inventory(spark, path), ["product_id"], "dataset_version_id")
+    assert shown(facts["inventory"]) == shown(stock)
