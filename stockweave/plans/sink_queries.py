@@ -294,8 +294,7 @@ LEFT JOIN (SELECT batch_id, count(DISTINCT (kind, code)) AS issues FROM (SELECT
 )
 def sales_preview_commit(spark, sf_dir):
     verdicts = sales_commit(spark, sf_dir)
-    keep = Steps()
-    rows = keep(mapped_rows(spark, sf_dir, PREVIEW_COLUMNS, keep).withColumn("batch_id", month_id("snapshot_month")))
+    rows = mapped_rows(spark, sf_dir, PREVIEW_COLUMNS, Steps()).withColumn("batch_id", month_id("snapshot_month"))
     tables = sinks.sales_preview_tables(rows, verdicts)
     batch = tables["sales_import_batch"].select("batch_id", "status", "total_rows", "ready_rows", "skipped_rows", "total_qty")
     candidates = tables["sales_import_candidate"].groupBy("batch_id").agg(F.count(F.lit(1)).alias("candidates"), F.count("customer_id").alias("known_customers"))

@@ -457,24 +457,29 @@ def sales_lines(spark):
     return spark.createDataFrame(rows, "source_row_no bigint, source_sku_code string, source_customer_name string, source_product_type string, actual_qty decimal(18,4), source_sku_name string, sales_date date, snapshot_month date")
 
 
-def test_mapping_in_steps_gives_the_same_rows(spark):
+def test_mapping_in_steps_gives_the_same_rows(spark, monkeypatch):
     shown = lambda frame: sorted(map(str, frame.collect()))
     rows, masters = sales_lines(spark), sales_masters(spark)
     whole = resolution.map_sales_rows(rows, *masters)
     assert whole.columns == [*rows.columns, *resolution.SNAPSHOT_COLUMNS, "status", "mapping_reason"]
-    stored = []
-    keep = lambda frame: stored.append(frame.columns) or staging.stage(frame)
-    assert shown(resolution.map_sales_rows(rows, *masters, keep=keep)) == shown(whole)
+    stored, gone, stage, discard = [], [], staging.stage, staging.discard
+    monkeypatch.setattr(staging, "stage", lambda frame, more=(): stored.append((frame.columns, 1 + len(more))) or stage(frame, more=more))
+    monkeypatch.setattr(staging, "discard", lambda frame: gone.append(frame) or discard(frame))
+    assert shown(resolution.map_sales_rows(rows, *masters, keep=staging.Steps())) == shown(whole)
     few = ["source_row_no", "sku_id", "customer_id", "mapping_reason", "status"]
-    assert shown(resolution.map_sales_rows(rows, *masters, few, keep)) == shown(whole.select(*few))
-    # Before each lookup what it and the later ones read is stored, no more.
-    assert len(stored) == 4 and sorted(stored[2]) == ["_skip", "source_customer_name", "source_row_no", "source_sku_code"]
-    assert sorted(stored[3]) == ["_skip", "customer_id", "source_row_no", "source_sku_code"]
+    stored.clear()
+    gone.clear()
+    assert shown(resolution.map_sales_rows(rows, *masters, few, staging.Steps())) == shown(whole.select(*few))
+    # Rows, customers, rows with customers in parts, SKUs, mapped rows in parts: what later steps read is stored, no more.
+    assert [n for _, n in stored] == [1, 1, resolution.PARTS, 1, resolution.PARTS] and len(gone) == 4
+    assert sorted(stored[0][0]) == ["_skip", "source_customer_name", "source_row_no", "source_sku_code"]
+    assert sorted(stored[2][0]) == ["_skip", "customer_id", "source_row_no", "source_sku_code"]
+    assert stored[4][0] == few
 
 
 def test_rows_of_several_batches_are_stored_once(spark, monkeypatch):
     mapped = resolution.map_sales_rows(sales_lines(spark), *sales_masters(spark))
-    monkeypatch.setattr(publishing_queries, "mapped_rows", lambda spark, sf_dir, columns, keep: mapped.select(*columns))
+    monkeypatch.setattr(publishing_queries, "mapped_rows", lambda spark, sf_dir, columns, keep: keep(mapped.select(*columns)))
     written, stage = [], staging.stage
     monkeypatch.setattr(staging, "stage", lambda frame: written.append(frame.count()) or stage(frame))
     rows = publishing_queries.stored_rows(spark, "", publishing_queries.GATE_COLUMNS)
@@ -559,3 +564,17 @@ def test_facts_are_made_in_steps_of_which_the_last_stays(spark, tmp_path, monkey
     assert shown(facts["actuals"]) == shown(planning_feeds.actual_channel_months(planning_queries.valid_actuals(spark, path))) != []
     stock = planning_feeds.inventory_months(planning_queries.planning_inventory(spark, path), ["product_id"], "dataset_version_id")
     assert shown(facts["inventory"]) == shown(stock)
+
+
+def test_fact_reads_rows_of_published_batches_alone(spark, tmp_path, monkeypatch):
+    path = line_tables(spark, tmp_path)
+    spark.createDataFrame([(1, "ALPHA")], "n_nationkey int, n_name string").write.parquet(f"{path}/nation.parquet")
+    given, build = [], publishing.build_fact
+    monkeypatch.setattr(publishing, "build_fact", lambda rows, candidates, batches: given.append((rows, candidates, batches)) or build(rows, candidates, batches))
+    fact = publishing_queries.fact_build(spark, path)
+    (rows, candidates, batches), whole = given[0], publishing_queries.stored_rows(spark, path)
+    # The new batches of January and April have all that the current ones have; the others are empty, wrong or not ready.
+    assert {r.batch_id for r in rows.select("batch_id").distinct().collect()} == {"N-200001", "N-200004"} == {r.batch_id for r in batches.collect()}
+    assert whole.select("batch_id").distinct().count() > 3 and candidates.select("batch_id").distinct().count() > 3
+    shown = lambda frame: sorted(map(str, frame.select(*fact.columns).collect()))
+    assert shown(fact) == shown(build(whole, publishing_queries.candidates(whole), batches)) != []
